@@ -256,7 +256,7 @@ def normalise(values: DataFrame, threshold: float = 0.95, mixtures: DataFrame |
     generic = F.create_map(*[F.lit(x) for kv in GENERIC_ZONES.items() for x in kv])
     home = F.when(known(F.col("_home")), F.col("_home"))
     here = F.transform(
-        F.array(*[F.col("_local") + F.lit(d * DAY_US) for d in (-270, -180, -90, 90)]),
+        F.array(*[F.col("_local") + F.lit(d * DAY_US) for d in range(-240, 121, 60)]),
         lambda t: F.floor(_offset_us(t, F.coalesce(home, F.lit("UTC"))) / 60_000_000).cast("int"),
     )
     many = F.try_element_at(meanings, F.col("_abbr"))
