@@ -8,7 +8,7 @@ of fixed size; otherwise texts would agree on the phrases that everyone uses.
 The Hamming join splits signatures into ``CHUNKS`` chunks. Of two signatures that differ in at most ``DISTANCE`` symbols
 some chunk has at most ``DISTANCE // CHUNKS`` errors (pigeonhole), so that enumerating the allowed chunk errors (a key for
 each choice of symbols left out) and joining on equal keys finds every such pair. Within a key the compact signatures
-(``BITS`` bits a symbol, one long in all) are compared before a pair leaves the kernel, and the exact likeness of the
+(``BITS`` bits a symbol, packed into a long and the low bits of the key) are compared before a pair leaves the kernel, and the exact likeness of the
 texts decides. Equal texts form one class, found by hash; pairs are sought between classes only and expanded at the end.
 
 At scale: one pass for the sketch, one for signatures; 25 key rows of three longs a text are shuffled once; texts are
@@ -33,7 +33,7 @@ from gleaner.llm.residue import exemplar_weights, find_residue
 from gleaner.llm.shingles import mix, shingle_hashes
 from gleaner.tables import cut_lineage
 
-SYMBOLS, CHUNKS, DISTANCE, BITS, COMPACT_DISTANCE = 25, 5, 9, 2, 12
+SYMBOLS, CHUNKS, DISTANCE, BITS, COMPACT_DISTANCE = 25, 5, 9, 3, 12
 SKETCH_BITS, SKETCH_PARTS, RUN = 18, 16, 2048
 K = 5
 
@@ -50,30 +50,31 @@ def usable(items: DataFrame) -> DataFrame:
     return rows.select(F.col("item_id").cast("bigint").alias("item_id"), "title", "summary", comparable_text().alias("text")).withColumn("d", F.xxhash64("text"))
 
 
-def frequency_sketch(texts: DataFrame) -> np.ndarray:
-    """Counts of hashed substrings over all texts (column ``text``): 2**18 counters, whatever the size of the table."""
+def frequency_sketch(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts of hashed substrings over all texts (column ``text``) and their number: 2**18 counters, whatever the size of the table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        n = 0
         for pdf in batches:
+            n += len(pdf)
             _, h = shingle_hashes(pdf["text"].tolist(), K)
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        if total.any():
-            salt = int(total.sum() % 32)
+        if n:
             parts = np.split(total, SKETCH_PARTS)
-            yield pd.DataFrame({"part": range(SKETCH_PARTS), "salt": salt, "counts": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"part": range(SKETCH_PARTS), "salt": int(total.sum() % 32), "n": n, "counts": [p.tobytes() for p in parts]})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
-        return pd.DataFrame({"part": [key[0]], "salt": [0], "counts": [total.tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "salt": [0], "n": [pdf["n"].sum()], "counts": [total.tobytes()]})
 
-    schema = "part int, salt int, counts binary"
+    schema = "part int, salt int, n bigint, counts binary"
     partial = texts.select("text").mapInPandas(count, schema).groupBy("part", "salt").applyInPandas(add, schema)
     parts = partial.groupBy("part").applyInPandas(add, schema).collect()  # 16 rows of 128 KB
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for p in parts:
         sketch[p["part"] * (len(sketch) // SKETCH_PARTS) :][: len(sketch) // SKETCH_PARTS] = np.frombuffer(p["counts"], np.int64)
-    return sketch
+    return sketch, parts[0]["n"] if parts else 0
 
 
 def substring_weights(sketch: np.ndarray, texts: int) -> np.ndarray:
@@ -129,29 +130,39 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def compact(sig: np.ndarray) -> np.ndarray:
-    """``BITS`` bits of every symbol in one long."""
-    bits = mix(sig.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
-    out = np.zeros(len(sig), np.uint64)
+LOW = 64 // BITS  # symbols in the long
+KEY_BITS = 64 - (SYMBOLS - LOW) * BITS  # of the key itself; the other symbols lie below
+
+
+def compact(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``BITS`` bits of every symbol: the first ``LOW`` symbols in one long, the rest in the low bits of another."""
+    bits = (sig >> np.uint32(4)).astype(np.uint64) & np.uint64((1 << BITS) - 1)
+    low, rest = np.zeros(len(sig), np.uint64), np.zeros(len(sig), np.uint64)
     for j in range(SYMBOLS):
-        out |= bits[:, j] << np.uint64(j * BITS)
-    return out.view(np.int64)
+        if j < LOW:
+            low |= bits[:, j] << np.uint64(j * BITS)
+        else:
+            rest |= bits[:, j] << np.uint64((j - LOW) * BITS)
+    return low.view(np.int64), rest
 
 
-def compact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of symbols in which compact signatures differ."""
-    x = a.view(np.uint64) ^ b.view(np.uint64)
+def _differing(x: np.ndarray, symbols: int) -> np.ndarray:
     folded = x.copy()
     for j in range(1, BITS):
         folded |= x >> np.uint64(j)
-    lowest = np.uint64(sum(1 << (j * BITS) for j in range(SYMBOLS)))
-    return np.bitwise_count(folded & lowest)
+    return np.bitwise_count(folded & np.uint64(sum(1 << (j * BITS) for j in range(symbols))))
+
+
+def compact_distance(key_a: np.ndarray, a: np.ndarray, key_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of symbols in which the compact signatures of key rows differ."""
+    return _differing(a.view(np.uint64) ^ b.view(np.uint64), LOW) + _differing(key_a.view(np.uint64) ^ key_b.view(np.uint64), SYMBOLS - LOW)
 
 
 def _pairs_of_runs(key: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs within runs of equal keys (arrays sorted by key and d, without repeats) whose compact signatures are near; rows of overlong runs."""
     n = len(key)
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    own = key >> (64 - KEY_BITS)
+    edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])
     size = np.diff(edge)
     over = np.repeat(size > RUN, size)
     length = np.repeat(np.where(size > RUN, 0, size), size)
@@ -161,9 +172,9 @@ def _pairs_of_runs(key: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.nd
         i = np.flatnonzero((np.arange(n) + step < end) & (length > step)) if step == 1 else i[i + step < end[i]]
         if not len(i):
             break
-        near = compact_distance(s[i], s[i + step]) <= COMPACT_DISTANCE
-        a_out.append(d[i[near]])
-        b_out.append(d[i[near] + step])
+        i_near = i[compact_distance(key[i], s[i], key[i + step], s[i + step]) <= COMPACT_DISTANCE]
+        a_out.append(np.minimum(d[i_near], d[i_near + step]))
+        b_out.append(np.maximum(d[i_near], d[i_near + step]))
     none = np.empty(0, np.int64)
     return np.concatenate(a_out or [none]), np.concatenate(b_out or [none]), np.flatnonzero(over)
 
@@ -196,7 +207,7 @@ def hamming_pairs(keyed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": key[over], "a": d[over], "b": np.iinfo(np.int64).min, "s": s[over]})
 
     schema = "key bigint, a bigint, b bigint, s bigint"
-    found = cut_lineage(keyed.repartition("key").mapInPandas(pair, schema))
+    found = cut_lineage(keyed.repartition(F.shiftright("key", 64 - KEY_BITS)).mapInPandas(pair, schema))
     lowest = int(np.iinfo(np.int64).min)
     pairs = found.filter(F.col("b") != lowest).select("a", "b").distinct()
     over = found.filter(F.col("b") == lowest).select("key", F.col("a").alias("d"), "s")
@@ -207,24 +218,25 @@ def hamming_pairs(keyed: DataFrame) -> DataFrame:
 
 def _block_pairs(over: DataFrame) -> DataFrame:
     """The pairs of overlong runs: rows are hashed into blocks of about ``RUN`` and every pair of blocks is a group of its own."""
-    sizes = over.groupBy("key").agg(F.ceil(F.count("*") / RUN).cast("int").alias("blocks"))
-    rows = over.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    over = over.withColumn("own", F.shiftright("key", 64 - KEY_BITS))
+    sizes = over.groupBy("own").agg(F.ceil(F.count("*") / RUN).cast("int").alias("blocks"))
+    rows = over.join(sizes, "own").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", "d", "s", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = met.select("own", "key", "d", "s", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
         left = pdf[pdf["block"] == lo]
         right = left if lo == hi else pdf[pdf["block"] == hi]
-        d, s = right["d"].to_numpy(), right["s"].to_numpy()
+        key, d, s = (right[c].to_numpy() for c in ("key", "d", "s"))
         a, b = [], []
-        for x, y in zip(left["d"].to_numpy(), left["s"].to_numpy()):
-            near = (compact_distance(np.full(len(s), y), s) <= COMPACT_DISTANCE) & ((d > x) if lo == hi else (d != x))
+        for k, x, y in zip(*(left[c].to_numpy() for c in ("key", "d", "s"))):
+            near = (compact_distance(np.full(len(s), k), np.full(len(s), y), key, s) <= COMPACT_DISTANCE) & ((d > x) if lo == hi else (d != x))
             a.append(np.minimum(x, d[near]))
             b.append(np.maximum(x, d[near]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return met.groupBy("key", "lo", "hi").applyInPandas(pair, "a bigint, b bigint")
+    return met.groupBy("own", "lo", "hi").applyInPandas(pair, "a bigint, b bigint")
 
 
 def likeness(a: list[str], b: list[str]) -> np.ndarray:
@@ -247,8 +259,7 @@ def likeness(a: list[str], b: list[str]) -> np.ndarray:
 def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """``members`` (``item_id, d``) and ``pairs`` (``a, b, likeness``) of the classes of equal texts that are alike."""
     rows = usable(items)
-    sketch = frequency_sketch(rows)
-    weights = substring_weights(sketch, rows.count())
+    weights = substring_weights(*frequency_sketch(rows))
     shared_weights = items.sparkSession.sparkContext.broadcast(weights)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,8 +273,10 @@ def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, SYMBOLS)
+            low, rest = compact(sig)
             k = chunk_keys(sig)
-            yield pd.DataFrame({"key": k.ravel(), "d": np.repeat(pdf["d"].to_numpy(), k.shape[1]), "s": np.repeat(compact(sig), k.shape[1])})
+            k = (k >> (64 - KEY_BITS) << (64 - KEY_BITS)) | rest.view(np.int64)[:, None]
+            yield pd.DataFrame({"key": k.ravel(), "d": np.repeat(pdf["d"].to_numpy(), k.shape[1]), "s": np.repeat(low, k.shape[1])})
 
     signed = cut_lineage(rows.select("item_id", "d", "text").mapInPandas(sign, "item_id bigint, d bigint, sig binary"))
     members = signed.select("item_id", "d")

@@ -180,15 +180,17 @@ def exemplar_weights(items: DataFrame, fields: tuple[str, ...] = ("title", "summ
     """Inverse document frequency of the exemplars' tokens over all fields of all rows (bounded by the exemplars, so it is collected)."""
     vocabulary = sorted({t for x in [*RESIDUE, *CONTENT] for t in tokens(x)})
     spark = items.sparkSession
-    words = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "token string"))
+    every = "\x00"  # a token that every field is given: its count is the number of fields
+    words = F.broadcast(spark.createDataFrame([(t,) for t in [*vocabulary, every]], "token string"))
     texts = items.select(F.explode(F.array(*[F.col(f) for f in fields])).alias("x")).filter("x is not null and trim(x) <> ''").select(F.lower("x").alias("x"))
     cjk = rf"[{_CJK}]"
     pairs = F.concat(F.regexp_extract_all("x", F.lit(rf"({cjk}{cjk})"), F.lit(1)), F.regexp_extract_all(F.regexp_replace("x", rf"(^|[^{_CJK}]){cjk}", "$1"), F.lit(rf"({cjk}{cjk})"), F.lit(1)))
     plain = F.split("x", r"[^\p{L}'’]+")
-    both = F.when(F.col("x").rlike(cjk), F.concat(plain, pairs)).otherwise(plain)
+    both = F.when(F.col("x").rlike(cjk), F.concat(plain, pairs, F.array(F.lit(every)))).otherwise(F.concat(plain, F.array(F.lit(every))))
     counts = texts.select(F.explode(F.array_distinct(both)).alias("token")).join(words, "token").groupBy("token").agg(F.count("*").alias("df"))
-    total = texts.count()
-    return {r["token"]: math.log((total + 1) / (r["df"] + 1)) + 1 for r in counts.collect()}
+    df = {r["token"]: r["df"] for r in counts.collect()}
+    total = df.pop(every, 0)
+    return {t: math.log((total + 1) / (n + 1)) + 1 for t, n in df.items()}
 
 
 def find_residue(items: DataFrame, weights: dict[str, float] | None = None, key: str = "item_id") -> DataFrame:
