@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["p1", "p2", "p4", "p5", "p7", "p8"]
+MODULES = ["p1", "p2", "p4", "p5", "p6", "p7", "p8"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
