@@ -40,12 +40,13 @@ K = 5
 
 def comparable_text(title: str | Column = "title", summary: str | Column = "summary") -> Column:
     """Title, a space and summary in lower case, white space runs made one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, summary)), r"(?U)\s+", " "))
+    # single plain spaces are left where they are
+    return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, summary)), r"(?U)\s*[^\S ]\s*|  +", " "))
 
 
 def usable(items: DataFrame) -> DataFrame:
     """``item_id, title, summary, text, d`` of rows with non-blank fields; ``d`` is a 64-bit hash of the text."""
-    full = lambda c: F.col(c).isNotNull() & (F.trim(F.regexp_replace(c, r"(?U)\s+", " ")) != "")
+    full = lambda c: F.col(c).isNotNull() & F.col(c).rlike(r"(?U)\S")
     rows = items.filter(full("title") & full("summary") & F.col("item_id").isNotNull())
     return rows.select(F.col("item_id").cast("bigint").alias("item_id"), "title", "summary", comparable_text().alias("text")).withColumn("d", F.xxhash64("text"))
 
