@@ -16,7 +16,7 @@ _ARTICLE = re.compile(r"(?is)<article\b.*?</article>")
 _ANCHOR = re.compile(r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""")
 _HEAD = re.compile(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>")
 _PARA = re.compile(r"(?is)<p\b[^>]*>(.*?)</p>")
-_TIME = re.compile(r"""(?is)<time\b[^>]*(?:datetime=["']([^"']+)["'])?[^>]*>(.*?)</time>""")
+_TIME = re.compile(r"""(?is)<time\b(?:[^>]*?\bdatetime=["']([^"']+)["'])?[^>]*>(.*?)</time>""")
 
 
 def plain(text: str) -> str:
