@@ -180,8 +180,7 @@ def _pairs_of_runs(key: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.nd
     return np.concatenate(a_out or [none]), np.concatenate(b_out or [none]), np.flatnonzero(over)
 
 
-def _unique_rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, d, s = (pdf[c].to_numpy() for c in ("key", "d", "s"))
+def _unique_rows(key: np.ndarray, d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((d, key))
     key, d, s = key[order], d[order], s[order]
     keep = np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])] if len(key) else np.empty(0, bool)
@@ -195,12 +194,21 @@ def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a[keep], b[keep]
 
 
-def hamming_pairs(keyed: DataFrame) -> DataFrame:
-    """``a < b`` of classes near in signature, from rows ``key, d, s``: equal-key runs are paired where they lie after one shuffle."""
+def in_blocks(key: np.ndarray, d: np.ndarray, s: np.ndarray, parts: int) -> pd.DataFrame:
+    """``part, rows``: the key rows of each target partition as one block of bytes, so that the shuffle moves blocks, not rows."""
+    part = ((key.view(np.uint64) >> np.uint64(64 - KEY_BITS)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    rows = np.stack((key[order], d[order], s[order]), 1)
+    edge = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(part) else np.zeros(1, int)
+    return pd.DataFrame({"part": part[order][edge[:-1]], "rows": [rows[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]})
+
+
+def hamming_pairs(blocks: DataFrame, parts: int) -> DataFrame:
+    """``a < b`` of classes near in signature, from the blocks of :func:`in_blocks`: equal-key runs are paired where they lie after one shuffle."""
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches) or [pd.DataFrame({"key": [], "d": [], "s": []}, dtype="int64")])
-        key, d, s = _unique_rows(pdf)
+        rows = np.frombuffer(b"".join(b for pdf in batches for b in pdf["rows"]), np.int64).reshape(-1, 3)
+        key, d, s = _unique_rows(*rows.T)
         a, b, over = _pairs_of_runs(key, d, s)
         a, b = _distinct_pairs(a, b)
         yield pd.DataFrame({"key": 0, "a": a, "b": b, "s": 0})
@@ -208,7 +216,7 @@ def hamming_pairs(keyed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": key[over], "a": d[over], "b": np.iinfo(np.int64).min, "s": s[over]})
 
     schema = "key bigint, a bigint, b bigint, s bigint"
-    found = cut_lineage(keyed.repartition(F.shiftright("key", 64 - KEY_BITS)).mapInPandas(pair, schema))
+    found = cut_lineage(blocks.repartitionById(parts, "part").select("rows").mapInPandas(pair, schema))
     lowest = int(np.iinfo(np.int64).min)
     pairs = found.filter(F.col("b") != lowest).select("a", "b").distinct()
     over = found.filter(F.col("b") == lowest).select("key", F.col("a").alias("d"), "s")
@@ -261,6 +269,7 @@ def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     """``members`` (``item_id, d``) and ``pairs`` (``a, b, likeness``) of the classes of equal texts that are alike."""
     rows = usable(items)
     weights = substring_weights(*frequency_sketch(rows))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared_weights = items.sparkSession.sparkContext.broadcast(weights)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,11 +286,11 @@ def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
             low, rest = compact(sig)
             k = chunk_keys(sig)
             k = (k >> (64 - KEY_BITS) << (64 - KEY_BITS)) | rest.view(np.int64)[:, None]
-            yield pd.DataFrame({"key": k.ravel(), "d": np.repeat(pdf["d"].to_numpy(), k.shape[1]), "s": np.repeat(low, k.shape[1])})
+            yield in_blocks(k.ravel(), np.repeat(pdf["d"].to_numpy(), k.shape[1]), np.repeat(low, k.shape[1]), parts)
 
     signed = cut_lineage(rows.select("item_id", "d", "text").mapInPandas(sign, "item_id bigint, d bigint, sig binary"))
     members = signed.select("item_id", "d")
-    candidates = hamming_pairs(signed.filter("sig is not null").select("d", "sig").mapInPandas(keys, "key bigint, d bigint, s bigint"))
+    candidates = hamming_pairs(signed.filter("sig is not null").select("d", "sig").mapInPandas(keys, "part int, rows binary"), parts)
     texts = rows.groupBy("d").agg(F.first("text").alias("text"))
     joined = candidates.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
 
