@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleaner.tables import cut_lineage
 
-GROUPS, SMALL, SALTS = 24, 6, 64
+GROUPS, SMALL, SALTS = 256, 6, 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer of the vocabulary cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
