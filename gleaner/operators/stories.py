@@ -13,6 +13,7 @@ from gleaner.functions import text
 from gleaner.functions.num import steps
 from gleaner.operators.components import connected_components
 from gleaner.operators.items import DEFAULT_ROLE_WEIGHT, ROLE_WEIGHTS, lookup
+from gleaner.tables import cut_lineage
 
 
 def shared_key_edges(df: DataFrame, vertex: str, keys: list[Column]) -> DataFrame:
@@ -174,18 +175,33 @@ def greedy_title_dedup(rows: DataFrame, group: str, order: str, title: str, leas
     First wins in a chain of decisions, so rows are resolved in rounds on the graph of like titles: a row without an
     undecided earlier neighbour is decided, kept if no kept neighbour comes before it.
     """
-    from gleaner.tables import cut_lineage
+    edges = _like_titles(rows, group, order, title, least, contained)
+    state = _greedy_state(edges)
+    return rows.join(state.filter("s = 2").select(F.col("v").alias(order), F.lit(1).alias("_gone")), order, "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+
+
+def seed_clusters(rows: DataFrame, group: str, order: str, title: str, least: float = 0.55, contained: float = 0.8) -> DataFrame:
+    """Greedy clustering: in order, a row joins the first seed of its group that its title is like, or becomes a seed; ``seed`` tells."""
+    edges = _like_titles(rows, group, order, title, least, contained)
+    state = _greedy_state(edges)
+    seeds = edges.join(state.filter("s = 1").select(F.col("v").alias("a")), "a", "left_semi").join(state.filter("s = 2").select(F.col("v").alias("b")), "b", "left_semi")
+    first = seeds.groupBy(F.col("b").alias(order)).agg(F.min("a").alias("_seed"))
+    return rows.join(first, order, "left").withColumn("seed", F.coalesce("_seed", order)).drop("_seed")
+
 
+def _like_titles(rows: DataFrame, group: str, order: str, title: str, least: float, contained: float) -> DataFrame:
     keyed = rows.withColumn("_w", text.significant_words(F.col(title)))
     pairs = word_pairs(keyed, order, F.col("_w"), least, contained)
     groups = rows.select(F.col(order).alias("a"), F.col(group).alias("ga"))
-    edges = pairs.join(groups, "a").join(groups.toDF("b", "gb"), "b").filter("ga = gb").select("a", "b")
-    edges = cut_lineage(edges)
+    return cut_lineage(pairs.join(groups, "a").join(groups.toDF("b", "gb"), "b").filter("ga = gb").select("a", "b"))
+
+
+def _greedy_state(edges: DataFrame) -> DataFrame:
+    """``v, s`` of every row on an edge: 1 where no kept row like it comes before, else 2."""
     state = cut_lineage(edges.select(F.col("b").alias("v")).union(edges.select("a")).distinct().withColumn("s", F.lit(0)))
     while True:
         seen = edges.join(state.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("v")).agg(F.max(F.col("sa") == 1).alias("near_kept"), F.max(F.col("sa") == 0).alias("open"))
         step = state.join(seen, "v", "left").select("v", F.when(F.col("s") > 0, F.col("s")).when(F.coalesce("near_kept", F.lit(False)), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("s"))
         state = cut_lineage(step)
         if not state.filter("s = 0").limit(1).count():
-            break
-    return rows.join(state.filter("s = 2").select(F.col("v").alias(order), F.lit(1).alias("_gone")), order, "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+            return state

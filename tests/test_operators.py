@@ -87,6 +87,8 @@ def test_title_pairs_and_greedy_dedup(spark):
         kept[i] = not any(kept.get(j) and (j, i) in pairs for j, d, _ in rows if d == day and j < i)
     out = st.greedy_title_dedup(df, "day", "id", "title")
     assert {r["id"]: r["kept"] for r in out.collect()} == kept
+    seed = {i: next((j for j, d, _ in sorted(rows) if j < i and kept[j] and d == day and (j, i) in pairs), i) for i, day, _ in rows}
+    assert {r["id"]: r["seed"] for r in st.seed_clusters(df, "day", "id", "title").collect()} == seed
 
 
 def test_normalised_scores(spark):
