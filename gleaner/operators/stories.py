@@ -92,19 +92,29 @@ def raw_scores(rows: DataFrame, as_of: Column) -> DataFrame:
     return agg.withColumn("raw", (F.least(F.lit(25.0), F.col("w10") / 10.0) + 1.5 * F.col("n_s") + 0.8 * F.col("n_t") + F.col("imp")) * decay)
 
 
-def normalise_scores(raw: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """Scores from 1 to 10 by the nearest-rank median, 95th percentile and maximum.
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], by: list[str], width: float = 0.01) -> DataFrame:
+    """``total, top`` and a column per share: the value at rank ``max(1, floor(n * share))``, exactly, per group.
 
-    The percentiles come from an aggregate of counts by value, joined back, so no window holds all stories; ``partition``
-    names the columns that separate days.
+    Values are counted in bins of ``width`` first; the windows run over bins (as many as the value range has) and over
+    the distinct values of the one bin that holds the rank, never over all rows.
     """
+    binned = rows.select(*by, value, F.floor(F.col(value) / width).alias("_bin"))
+    bins = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c"), F.max(value).alias("_top"))
+    all_bins = Window.partitionBy(*by)
+    bins = bins.withColumns({"_cum": F.sum("_c").over(all_bins.orderBy("_bin")), "total": F.sum("_c").over(all_bins), "top": F.max("_top").over(all_bins)})
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.floor(F.col("total") * q)).alias("rank")) for n, q in shares.items()]))
+    at = bins.select(*by, "_bin", "_cum", "_c", "total", "top", asked.alias("q")).filter((F.col("_cum") >= F.col("q.rank")) & (F.col("_cum") - F.col("_c") < F.col("q.rank")))
+    at = at.select(*by, "_bin", "total", "top", F.col("q.name").alias("name"), (F.col("q.rank") - (F.col("_cum") - F.col("_c"))).alias("nth"))
+    values = binned.join(F.broadcast(at), [*by, "_bin"]).groupBy(*by, "total", "top", "name", "nth", value).agg(F.count("*").alias("_n"))
+    seen = F.sum("_n").over(Window.partitionBy(*by, "name").orderBy(value))
+    found = values.withColumn("_seen", seen).filter(F.col("_seen") >= F.col("nth"))
+    return found.groupBy(*by, "total", "top").agg(*[F.min(F.when(F.col("name") == n, F.col(value))).alias(n) for n in shares])
+
+
+def normalise_scores(raw: DataFrame, partition: list[str] | None = None) -> DataFrame:
+    """Scores from 1 to 10 by the nearest-rank median, 95th percentile and maximum; ``partition`` names the columns that separate days."""
     by = partition or []
-    counts = raw.groupBy(*by, "raw").agg(F.count("*").alias("c"))
-    sums = counts.withColumn("cum", F.sum("c").over(Window.partitionBy(*by).orderBy("raw")))
-    total = counts.groupBy(*by).agg(F.sum("c").alias("total"), F.max("raw").alias("top"))
-    joined = sums.join(total, by) if by else sums.join(total.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).drop("_k")
-    at = lambda q: F.min(F.when(F.col("cum") >= F.greatest(F.lit(1), F.floor(F.col("total") * q)), F.col("raw")))
-    stats = joined.groupBy(*by, "total", "top").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    stats = nearest_rank(raw, "raw", {"p50": 0.5, "p95": 0.95}, by)
     out = raw.join(F.broadcast(stats), by) if by else raw.join(F.broadcast(stats.withColumn("_k", F.lit(1))), F.lit(1) == F.col("_k")).drop("_k")
     r, p50, p95, top = (F.col(c) for c in ("raw", "p50", "p95", "top"))
     flat = F.least(F.lit(10.0), F.greatest(F.lit(1.0), r / F.greatest(p50 / 5, F.lit(0.5))))
