@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleaner.tables import cut_lineage
 
-GROUPS, SMALL, SALTS = 256, 6, 64
+GROUPS, SMALL, SALTS, FULL_SALTS = 256, 6, 16, 1024
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer of the vocabulary cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -208,10 +208,11 @@ def pack(tokens: DataFrame, packs: DataFrame) -> DataFrame:
     tokens = cut_lineage(tokens.filter("tokens > 0"))
     dims = F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in sorted(sizes.items())])
     docs = tokens.select("*", F.inline(dims)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    docs = docs.withColumn("full_salt", F.pmod(F.xxhash64("doc_id"), F.lit(FULL_SALTS)).cast("int"))
     docs = docs.withColumns({"full": F.floor(F.col("tokens") / F.col("capacity")).cast("bigint"), "rest": F.col("tokens") % F.col("capacity")})
     # counts by length and salt: at most capacity * SALTS rows a pack, whatever the number of documents
     counts = docs.filter("rest > 0").groupBy("pack_id", "rest", "salt").agg(F.count("*").alias("n")).toPandas()
-    fulls = docs.filter("full > 0").groupBy("pack_id", "salt").agg(F.sum("full").alias("n")).toPandas()
+    fulls = docs.filter("full > 0").groupBy("pack_id", "full_salt").agg(F.sum("full").alias("n")).toPandas()
     plans, offsets, full_at, total = {}, {}, {}, {}
     for pack_id, capacity in sizes.items():
         own = counts[counts["pack_id"] == pack_id].sort_values(["rest", "salt"])
@@ -221,17 +222,17 @@ def pack(tokens: DataFrame, packs: DataFrame) -> DataFrame:
         grid = np.zeros((capacity + 1, SALTS), np.int64)
         grid[own["rest"], own["salt"]] = before
         offsets[pack_id] = grid
-        f = fulls[fulls["pack_id"] == pack_id].sort_values("salt")
-        start = np.zeros(SALTS, np.int64)
-        start[f["salt"]] = plan.containers + f["n"].cumsum() - f["n"]
+        f = fulls[fulls["pack_id"] == pack_id].sort_values("full_salt")
+        start = np.zeros(FULL_SALTS, np.int64)
+        start[f["full_salt"]] = plan.containers + f["n"].cumsum() - f["n"]
         full_at[pack_id] = start
     shared = spark.sparkContext.broadcast((plans, offsets, full_at))
     from pyspark.sql import Window
 
     in_length = Window.partitionBy("pack_id", "rest", "salt").orderBy("doc_id")
-    in_salt = Window.partitionBy("pack_id", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_salt = Window.partitionBy("pack_id", "full_salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rests = docs.filter("rest > 0").withColumn("rank", F.row_number().over(in_length) - 1).select("pack_id", "doc_id", "rest", "salt", "rank", "full")
-    cut = docs.filter("full > 0").withColumn("before", F.coalesce(F.sum("full").over(in_salt), F.lit(0))).select("pack_id", "doc_id", "salt", "full", "before", "capacity")
+    cut = docs.filter("full > 0").withColumn("before", F.coalesce(F.sum("full").over(in_salt), F.lit(0))).select("pack_id", "doc_id", "full_salt", "full", "before", "capacity")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plans, offsets, _ = shared.value
@@ -254,7 +255,7 @@ def pack(tokens: DataFrame, packs: DataFrame) -> DataFrame:
         for pdf in batches:
             n = pdf["full"].to_numpy()
             piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.array([full_at[p][s] for p, s in zip(pdf["pack_id"], pdf["salt"])], np.int64) + pdf["before"].to_numpy()
+            begin = np.array([full_at[p][s] for p, s in zip(pdf["pack_id"], pdf["full_salt"])], np.int64) + pdf["before"].to_numpy()
             yield pd.DataFrame({"pack_id": np.repeat(pdf["pack_id"].to_numpy(), n), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), n), "piece": piece.astype("int32"), "tokens": np.repeat(pdf["capacity"].to_numpy(), n), "container": np.repeat(begin, n) + piece})
 
     return rests.mapInPandas(place, schema).union(cut.mapInPandas(place_full, schema))
