@@ -24,6 +24,17 @@ def bounded(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores, for kernels that work harder than the reader.
+
+    Large tables come in far more partitions than that and are left as they are; only one that fits a few file splits is
+    dealt out anew.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if parts >= cores or not parts else scan.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 
