@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.residue import exemplar_weights, find_residue
 from gleaner.llm.shingles import mix, shingle_hashes
-from gleaner.tables import cut_lineage
+from gleaner.tables import cut_lineage, spread
 
 SYMBOLS, CHUNKS, DISTANCE, BITS, COMPACT_DISTANCE = 25, 5, 9, 3, 12
 SKETCH_BITS, SKETCH_PARTS, RUN = 18, 16, 2048
@@ -70,7 +70,7 @@ def frequency_sketch(texts: DataFrame) -> tuple[np.ndarray, int]:
         return pd.DataFrame({"part": [key[0]], "salt": [0], "n": [pdf["n"].sum()], "counts": [total.tobytes()]})
 
     schema = "part int, salt int, n bigint, counts binary"
-    partial = texts.select("text").mapInPandas(count, schema).groupBy("part", "salt").applyInPandas(add, schema)
+    partial = spread(texts.select("text")).mapInPandas(count, schema).groupBy("part", "salt").applyInPandas(add, schema)
     parts = partial.groupBy("part").applyInPandas(add, schema).collect()  # 16 rows of 128 KB
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for p in parts:
@@ -288,7 +288,7 @@ def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
             k = (k >> (64 - KEY_BITS) << (64 - KEY_BITS)) | rest.view(np.int64)[:, None]
             yield in_blocks(k.ravel(), np.repeat(pdf["d"].to_numpy(), k.shape[1]), np.repeat(low, k.shape[1]), parts)
 
-    signed = cut_lineage(rows.select("item_id", "d", "text").mapInPandas(sign, "item_id bigint, d bigint, sig binary"))
+    signed = cut_lineage(spread(rows.select("item_id", "d", "text")).mapInPandas(sign, "item_id bigint, d bigint, sig binary"))
     members = signed.select("item_id", "d")
     candidates = hamming_pairs(signed.filter("sig is not null").select("d", "sig").mapInPandas(keys, "part int, rows binary"), parts)
     texts = rows.groupBy("d").agg(F.first("text").alias("text"))
@@ -307,7 +307,7 @@ def without_residue(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """``pairs`` (``item_a, item_b``) without those of residue rows; only rows that are in a pair are looked at."""
     pairs = cut_lineage(pairs)
     ids = pairs.select(F.col("item_a").alias("item_id")).union(pairs.select("item_b")).distinct()
-    bad = cut_lineage(find_residue(items.join(ids, "item_id", "left_semi"), exemplar_weights(items)).select("item_id").distinct())
+    bad = cut_lineage(find_residue(items.join(ids, "item_id", "left_semi"), exemplar_weights(items), scan_of_table=False).select("item_id").distinct())
     return pairs.join(bad, pairs["item_a"] == bad["item_id"], "left_anti").join(bad, pairs["item_b"] == bad["item_id"], "left_anti")
 
 

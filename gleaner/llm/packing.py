@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.tables import cut_lineage
+from gleaner.tables import cut_lineage, spread
 
 GROUPS, SMALL, SALTS, FULL_SALTS = 256, 6, 16, 1024
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -48,7 +48,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: st
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(encoding.encode_ordinary(t)) for t in pdf["text"].array]})
 
     rows = documents.filter("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInPandas(count, "doc_id bigint, tokens bigint")
+    return spread(rows).mapInPandas(count, "doc_id bigint, tokens bigint")
 
 
 def _knapsack(capacity: int, sizes: list[int], left: list[int]) -> list[int]:

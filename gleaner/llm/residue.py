@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.tables import spread
+
 # Labelled exemplars: fixed texts as publishing systems, proxies and browsers put them.
 RESIDUE = [
     # filler
@@ -193,8 +195,11 @@ def exemplar_weights(items: DataFrame, fields: tuple[str, ...] = ("title", "summ
     return {t: math.log((total + 1) / (n + 1)) + 1 for t, n in df.items()}
 
 
-def find_residue(items: DataFrame, weights: dict[str, float] | None = None, key: str = "item_id") -> DataFrame:
-    """``key, field`` of every field ('title' or 'summary') that holds residue. ``weights``: see :func:`exemplar_weights`."""
+def find_residue(items: DataFrame, weights: dict[str, float] | None = None, key: str = "item_id", scan_of_table: bool = True) -> DataFrame:
+    """``key, field`` of every field ('title' or 'summary') that holds residue. ``weights``: see :func:`exemplar_weights`.
+
+    ``scan_of_table``: ``items`` is read straight from a table, so that a small one may be spread over the cores.
+    """
     index = ExemplarIndex(exemplar_weights(items) if weights is None else weights)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,4 +214,4 @@ def find_residue(items: DataFrame, weights: dict[str, float] | None = None, key:
             yield pd.DataFrame({"k": pd.Series(keys, dtype="int64"), "field": pd.Series(fields, dtype="object")})
 
     rows = items.select(F.col(key).cast("bigint").alias("k"), "title", "summary").filter("k is not null")
-    return rows.mapInPandas(scan, "k bigint, field string").select(F.col("k").alias(key), "field")
+    return (spread(rows) if scan_of_table else rows).mapInPandas(scan, "k bigint, field string").select(F.col("k").alias(key), "field")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.tables import cut_lineage
+from gleaner.tables import cut_lineage, spread
 
 BOUND, PARTS, ROUNDS, STEPS, DIM, WORD_BITS, SUB_BITS, SHARE = 5000, 4, 8, 10, 12, 15, 15, 0.25
 RATE, CUT = 0.15, 0.3
@@ -246,4 +246,4 @@ def document_subjects(documents: DataFrame, order: list[str], params: dict[str,
     rows = documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if not order:
         return rows.select("doc_id", F.lit("").alias("subject_id"), F.lit(0.0).alias("share")).limit(0)
-    return rows.mapInPandas(score, "doc_id bigint, subject_id string, share double")
+    return spread(rows).mapInPandas(score, "doc_id bigint, subject_id string, share double")
