@@ -210,7 +210,9 @@ def order_mixtures(days: DataFrame, rounds: int = 30, prior: float = 0.05) -> Da
             r = like * w
             total = r.sum(1) + NOISE * 0.02
             r = r / total[:, None]
-            w = prior * 0.01 + (r * n[:, None]).sum(0)
+            # a sparse prior: an order that explains a tenth of a source's values or less is left to noise
+            found = (r * n[:, None]).sum(0)
+            w = prior * 0.01 + np.maximum(found - 0.1 * n.sum(), 0)
             w = w / w.sum()
         return pd.DataFrame({"_source": [key[0]], "w_dmy": [w[0]], "w_mdy": [w[1]], "w_ymd": [w[2]], "n": [int(n.sum())]})
 
@@ -239,7 +241,7 @@ def normalise(values: DataFrame, threshold: float = 0.95, mixtures: DataFrame |
     same = F.size(F.array_distinct(F.filter(F.array("_dmy", "_mdy", "_ymd"), lambda x: x.isNotNull()))) == 1
     numeric = F.col("_family") == "numeric"
     # the only valid reading may still be one that its source never uses: then noise has the larger share
-    open_order = numeric & (valid > 0) & (F.col("_best") < threshold) & ~(same & (F.col("_best") >= 0.5))
+    open_order = numeric & (valid > 0) & (F.col("_best") < threshold) & ~(same & (sum(F.col(f"_post_{o}") for o in ORDERS) >= threshold))
     df = df.withColumns({"_pick": F.when(numeric, picked).otherwise(F.col("_day")), "_open": F.coalesce(open_order, F.lit(False)), "_valid": valid})
     local = F.col("_pick") * F.lit(DAY_US) + F.col("_clock")
     digits = F.length("_b")

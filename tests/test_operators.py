@@ -133,3 +133,22 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("  a  b\n c  ", "x" * 20)], "t string, long string")
     row = df.select(text.clean_text("t").alias("c"), text.clip(F.col("long"), 10).alias("k"), text.slug(F.lit("Hello, World! 2.0")).alias("s"), text.strip_tags(F.lit("<b>a</b> &amp;&nbsp;b")).alias("h")).first()
     assert tuple(row) == ("a b c", "xxxxxxx...", "hello-world-2-0", "a & b")
+
+
+def test_sequence_similarity(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcde ") for _ in range(rng.randrange(5, 30))), "".join(rng.choice("abcde ") for _ in range(rng.randrange(5, 30)))) for i in range(300)]
+    want = {i: SequenceMatcher(None, a, b).ratio() for i, a, b in rows}
+    got = st.sequence_similarity(spark.createDataFrame(rows, "id long, a string, b string"), "a", "b", 0.5).collect()
+    assert {r["id"]: round(r["ratio"], 9) for r in got} == {i: round(x, 9) for i, x in want.items() if x >= 0.5}
+
+
+def test_nearest_rank(spark):
+    rng = random.Random(10)
+    rows = [(g, rng.choice([0.1, 0.5, 2.0, rng.random() * 40])) for g in "ab" for _ in range(rng.randrange(40, 90))] + [("c", 3.0)]
+    got = {r["g"]: r for r in st.nearest_rank(spark.createDataFrame(rows, "g string, v double"), "v", {"p50": 0.5, "p95": 0.95}, ["g"]).collect()}
+    for g in "abc":
+        s = sorted(v for k, v in rows if k == g)
+        assert (got[g]["p50"], got[g]["p95"], got[g]["top"], got[g]["total"]) == (s[max(1, int(len(s) * 0.5)) - 1], s[max(1, int(len(s) * 0.95)) - 1], s[-1], len(s))
