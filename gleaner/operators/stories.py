@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from gleaner.operators.components import connected_components
 from gleaner.operators.items import DEFAULT_ROLE_WEIGHT, ROLE_WEIGHTS, lookup
 from gleaner.tables import cut_lineage
 
+#: Rows of a block, and shared words looked at in one step.
+BLOCK, PAIRS = 20_000, 2_000_000
+
 
 def shared_key_edges(df: DataFrame, vertex: str, keys: list[Column]) -> DataFrame:
     """``a, b``: every row linked to the first row that has the same key, whichever of its keys; a star, not all pairs."""
@@ -125,18 +129,77 @@ def normalise_scores(raw: DataFrame, partition: list[str] | None = None) -> Data
     return out.withColumn("score", F.when((p95 <= p50) | (F.col("total") < 3), flat).otherwise(bent)).drop("total", "top", "p50", "p95")
 
 
-def headline_penalty(new: DataFrame, old: DataFrame, key: str, words: str, least: float = 0.5, factor: float = 0.3) -> DataFrame:
-    """``key, likest, factor``: how far a headline repeats an earlier one; candidates share a word by an equi-join."""
-    a = new.select(F.col(key).alias("k"), F.col(words).alias("wa")).filter(F.size("wa") > 0)
-    b = old.select(F.monotonically_increasing_id().alias("o"), F.col(words).alias("wb")).filter(F.size("wb") > 0)
-    cand = a.select("k", F.explode("wa").alias("word")).join(b.select("o", F.explode("wb").alias("word")), "word")
-    shared = cand.groupBy("k", "o").agg(F.count("*").alias("s"))
-    sizes = shared.join(a.select("k", F.size("wa").alias("na")), "k").join(b.select("o", F.size("wb").alias("nb")), "o")
-    likest = sizes.groupBy("k").agg(F.max(F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("likest"))
-    out = new.select(F.col(key).alias("k")).join(likest, "k", "left").select(F.col("k").alias(key), F.coalesce("likest", F.lit(0.0)).alias("likest"))
+def headline_penalty(rows: DataFrame, key: str, batch: str, words: str, back: int = 30, least: float = 0.5, factor: float = 0.3) -> DataFrame:
+    """``key, likest, factor``: how far each headline repeats one of the ``back`` batches before its own; without any, 0 and no penalty.
+
+    The likest is exact, however small. Batches lie in spans, spans are cut into blocks of about ``BLOCK`` rows, and each
+    pair of blocks that can hold a batch and one before it is a group of its own, in which shared words are counted by
+    an inverted index (:func:`_likest_in`). Only rows are shuffled, not pairs; words are compared by 64-bit hashes.
+    """
+    width = max(1, back // 3)
+    reach = -(-back // width)
+    own = rows.filter(F.col(batch).isNotNull() & (F.size(words) > 0)).select(
+        F.col(key).alias("k"), F.col(batch).cast("int").alias("b"), F.transform(words, lambda w: F.xxhash64(w)).alias("h"), F.floor(F.col(batch) / width).cast("int").alias("span")
+    )
+    parts = own.groupBy("span").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    own = own.join(parts, "span").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).drop("parts")
+    there = parts.select(F.col("span").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other_part"))
+    met = lambda lo, hi: own.withColumn("other", F.explode(F.sequence(F.col("span") + lo, F.col("span") + hi))).join(there, "other")
+    new = met(-reach, 0).select("k", "b", "h", F.lit(False).alias("old"), "span", "part", "other", "other_part")
+    old = met(0, reach).select("k", "b", "h", F.lit(True).alias("old"), F.col("other").alias("span"), F.col("other_part").alias("part"), F.col("span").alias("other"), F.col("part").alias("other_part"))
+    kind = rows.schema[key].dataType.simpleString()
+    found = new.unionByName(old).groupBy("span", "part", "other", "other_part").applyInPandas(lambda pdf: _likest_in(pdf, back), f"k {kind}, likest double")
+    likest = found.groupBy("k").agg(F.max("likest").alias("likest"))
+    out = rows.select(F.col(key).alias("k")).join(likest, "k", "left").select(F.col("k").alias(key), F.coalesce("likest", F.lit(0.0)).alias("likest"))
     return out.withColumn("factor", F.when(F.col("likest") >= least, 1 - factor * F.col("likest")).otherwise(1.0))
 
 
+def _likest_in(pdf: pd.DataFrame, back: int) -> pd.DataFrame:
+    """``k, likest`` of the new rows of a group that share a word with an old one at most ``back`` batches before."""
+    size = np.fromiter(map(len, pdf["h"]), np.int64, len(pdf))
+    _, word = np.unique(np.concatenate(pdf["h"].to_numpy()), return_inverse=True)
+    is_old = pdf["old"].to_numpy(bool)
+    in_old = np.repeat(is_old, size)
+    n_new, n_old = int((~is_old).sum()), int(is_old.sum())
+    batch, k = pdf["b"].to_numpy(), pdf["k"].to_numpy()[~is_old]
+    new_size, old_size, new_batch, old_batch = size[~is_old], size[is_old], batch[~is_old], batch[is_old]
+    best = np.zeros(n_new)
+    if n_new and n_old:
+        # the old rows of each word, one after the other
+        words = int(word.max()) + 1
+        held = word[in_old]
+        postings = np.repeat(np.arange(n_old), old_size)[np.argsort(held, kind="stable")]
+        times = np.bincount(held, minlength=words)
+        first = np.cumsum(times) - times
+        asked, row = word[~in_old], np.repeat(np.arange(n_new), new_size)
+        whole = new_batch.min() - old_batch.max() >= 1 and new_batch.max() - old_batch.min() <= back
+        upto = np.cumsum(np.bincount(row, weights=times[asked], minlength=n_new))
+        edges = np.unique(np.r_[0, np.searchsorted(upto, np.arange(PAIRS, upto[-1], PAIRS)), n_new])
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            mine = slice(*np.searchsorted(row, (lo, hi)))
+            n = times[asked[mine]]
+            total = int(n.sum())
+            at = np.arange(total) + np.repeat(first[asked[mine]] - (np.cumsum(n) - n), n)
+            x, y = np.repeat(row[mine], n), postings[at]
+            if not whole:
+                ago = new_batch[x] - old_batch[y]
+                inside = (ago >= 1) & (ago <= back)
+                x, y = x[inside], y[inside]
+            if not len(x):
+                continue
+            pair = (x - lo) * n_old + y
+            pair = pair.astype(np.int32) if (hi - lo) * n_old < 1 << 31 else pair
+            pair.sort()
+            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            shared = np.diff(np.r_[head, len(pair)])
+            x, y = pair[head] // n_old + lo, pair[head] % n_old
+            like = shared / (new_size[x] + old_size[y] - shared)
+            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            best[x[start]] = np.maximum.reduceat(like, start)
+    hit = best > 0
+    return pd.DataFrame({"k": k[hit], "likest": best[hit]})
+
+
 def diversified_top(rows: DataFrame, group: list[str], order: list[Column], caps: dict[str, int], top: int, then: int) -> DataFrame:
     """``featured`` (within caps per column value, then filled without caps), ``watch`` (the next ones) and nothing else, per group.
 

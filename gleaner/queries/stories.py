@@ -78,9 +78,9 @@ def q_story_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_headline_penalty(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-05: headlines of the last batches against those of the 30 before."""
-    rows = _items(spark, d).withColumn("w", text.significant_words(F.col("title")))
-    out = st.headline_penalty(rows.filter("batch_id > 170"), rows.filter("batch_id between 140 and 170"), "item_id", "w")
+    """JOIN-05: the headlines of every batch against those of the 30 batches before it."""
+    rows = _items(spark, d).select("item_id", "batch_id", text.significant_words(F.col("title")).alias("w"))
+    out = st.headline_penalty(rows, "item_id", "batch_id", "w")
     return out.select("item_id", half_up(F.col("likest"), 4).alias("likest"), half_up(F.col("factor"), 4).alias("factor"))
 
 
