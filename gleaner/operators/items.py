@@ -106,6 +106,19 @@ def not_in_history(new: DataFrame, history: DataFrame, keys: list[str]) -> DataF
     return new
 
 
+def not_seen_before(rows: DataFrame, batch: str, keys: list[str], back: int) -> DataFrame:
+    """Rows none of whose keys occurs in the ``back`` batches before their own; a null key was never seen, a null batch has none before it.
+
+    A key is held once a batch, and its latest earlier batch decides.
+    """
+    out = rows
+    for k in keys:
+        once = rows.select(k, batch).filter(F.col(k).isNotNull() & F.col(batch).isNotNull()).distinct()
+        last = F.lag(batch).over(Window.partitionBy(k).orderBy(batch))
+        out = out.join(once.withColumn("_last", last).filter(F.col(batch) - F.col("_last") <= back).select(k, batch), [k, batch], "left_anti")
+    return out
+
+
 def retry_set(asked: DataFrame, answered: DataFrame, key: str) -> DataFrame:
     """What was asked for and not answered."""
     return asked.join(answered.select(key).distinct(), key, "left_anti")

@@ -98,10 +98,9 @@ def q_raw_limit_then_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_crossday_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-04: items of the last batches whose address was not seen in the 30 batches before."""
-    rows = _items(spark, d).withColumn("addr", F.coalesce("canonical_url", "url"))
-    new, old = rows.filter("batch_id > 150"), rows.filter("batch_id between 121 and 150")
-    return op.not_in_history(new.filter("addr is not null"), old, ["addr", "title"]).select("item_id")
+    """JOIN-04: items of every batch whose address and title were not seen in the 30 batches before it."""
+    rows = _items(spark, d).select("item_id", "batch_id", "title", F.coalesce("canonical_url", "url").alias("addr"))
+    return op.not_seen_before(rows, "batch_id", ["addr", "title"], 30).filter("addr is not null").select("item_id")
 
 
 def q_author_select(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gleaner.functions import text
+from gleaner.operators import items as op
 from gleaner.operators import stories as st
 
 DATA = Path("/root/testdata/sf0.001")
@@ -42,3 +43,25 @@ def test_headline_penalty_judges_every_batch(spark):
     got = {r["item_id"]: r["likest"] for r in entry.queries()["q_headline_penalty"](spark, str(DATA)).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - x) <= 0.5001e-4 for k, x in want.items())
+
+
+def unseen(rows, back=30):
+    """Keys of rows with an address whose address and title do not occur in the ``back`` batches before."""
+    held = [{(r[i], r[1]) for r in rows if r[i] is not None} for i in (2, 3)]
+    return {k for k, b, addr, title in rows if addr is not None and not any((x, b - n) in seen for x, seen in zip((addr, title), held) for n in range(1, back + 1))}
+
+
+def test_not_seen_before_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(1, 120), rng.choice([None, *range(60)]), rng.choice([None, *range(60)])) for i in range(400)]
+    rows += [(1000, 1, 900, 900), (1001, 31, 900, 901), (1002, 62, 900, 902), (1003, 62, 900, 903), (1004, 63, 904, 902)]
+    df = spark.createDataFrame(rows, "id long, day int, addr int, title int")
+    got = op.not_seen_before(df, "day", ["addr", "title"], 30).filter("addr is not null")
+    assert sorted(r["id"] for r in got.collect()) == sorted(unseen(rows))
+
+
+@needs_tables
+def test_crossday_antijoin_takes_every_batch(spark):
+    items = spark.read.parquet(str(DATA / "hotspot_items.parquet")).select("item_id", "batch_id", F.coalesce("canonical_url", "url"), "title")
+    want = unseen([tuple(r) for r in items.collect()])
+    assert sorted(r["item_id"] for r in entry.queries()["q_crossday_antijoin"](spark, str(DATA)).collect()) == sorted(want)
