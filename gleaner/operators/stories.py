@@ -236,10 +236,10 @@ def diversified_top(rows: DataFrame, group: list[str], order: list[Column], caps
     return out.withColumn("pick", label).filter("pick is not null").drop("_featured", "_watch", "_pos")
 
 
-def capped_sections(rows: DataFrame, section: str, order: list[Column], per_section: int, total: int, section_rank: Column) -> DataFrame:
-    """The best ``per_section`` of each section, at most ``total`` in all, sections in a fixed order."""
-    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(section).orderBy(*order))).filter(F.col("_rn") <= per_section)
-    return ranked.withColumn("_all", F.row_number().over(Window.orderBy(section_rank, "_rn"))).filter(F.col("_all") <= total).drop("_all").withColumnRenamed("_rn", "place")
+def capped_sections(rows: DataFrame, group: list[str], section: str, order: list[Column], per_section: int, total: int, section_rank: Column) -> DataFrame:
+    """Per group the best ``per_section`` of each section, at most ``total`` in all of them, sections in a fixed order."""
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, section).orderBy(*order))).filter(F.col("_rn") <= per_section)
+    return ranked.withColumn("_all", F.row_number().over(Window.partitionBy(*group).orderBy(section_rank, "_rn"))).filter(F.col("_all") <= total).drop("_all").withColumnRenamed("_rn", "place")
 
 
 def greedy_title_dedup(rows: DataFrame, group: str, order: str, title: str, least: float = 0.55, contained: float = 0.8) -> DataFrame:

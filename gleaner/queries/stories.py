@@ -90,9 +90,9 @@ def q_select_featured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sections(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-02: the best of each family of the last batches under a running total."""
-    rows = _with_keys(spark, d).filter("batch_id > 170").withColumn("family", op.source_family(F.col("source_role"), F.col("source_type")))
-    return st.capped_sections(rows, "family", [F.desc("importance"), F.asc("item_id")], 6, 25, F.col("family")).select("family", "item_id", "place")
+    """WIN-02: per batch the best of each family under a running total."""
+    rows = _with_keys(spark, d).select("batch_id", "item_id", "importance", op.source_family(F.col("source_role"), F.col("source_type")).alias("family"))
+    return st.capped_sections(rows, ["batch_id"], "family", [F.desc("importance"), F.asc("item_id")], 6, 25, F.col("family")).select("batch_id", "family", "item_id", "place")
 
 
 def q_claimed_waterfall(spark: SparkSession, d: str) -> DataFrame:

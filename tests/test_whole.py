@@ -65,3 +65,26 @@ def test_crossday_antijoin_takes_every_batch(spark):
     items = spark.read.parquet(str(DATA / "hotspot_items.parquet")).select("item_id", "batch_id", F.coalesce("canonical_url", "url"), "title")
     want = unseen([tuple(r) for r in items.collect()])
     assert sorted(r["item_id"] for r in entry.queries()["q_crossday_antijoin"](spark, str(DATA)).collect()) == sorted(want)
+
+
+def test_capped_sections_per_group(spark):
+    rng = random.Random(13)
+    rows = [(rng.randrange(5), i, rng.choice("abcdef"), rng.randrange(9)) for i in range(300)] + [(9, 1000, "f", 1)]
+    want = set()
+    for day in {r[0] for r in rows}:
+        placed = []
+        for family in "abcdef":
+            own = sorted((r for r in rows if r[0] == day and r[2] == family), key=lambda r: (-r[3], r[1]))[:6]
+            placed += [(day, family, r[1], place) for place, r in enumerate(own, 1)]
+        want |= set(placed[:25])
+    df = spark.createDataFrame(rows, "day int, id long, family string, score int")
+    got = st.capped_sections(df, ["day"], "family", [F.desc("score"), F.asc("id")], 6, 25, F.col("family")).select("day", "family", "id", "place")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@needs_tables
+def test_sections_of_every_batch(spark):
+    batches = {r[0] for r in spark.read.parquet(str(DATA / "hotspot_items.parquet")).select("batch_id").distinct().collect()}
+    got = entry.queries()["q_sections"](spark, str(DATA)).collect()
+    assert {r["batch_id"] for r in got} == batches
+    assert len({r["item_id"] for r in got}) == len(got) and max(r["place"] for r in got) <= 6
