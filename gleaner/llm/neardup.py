@@ -303,14 +303,32 @@ def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     return members, joined.mapInPandas(verify, "a bigint, b bigint, likeness double")
 
 
+def residue_among(ids: DataFrame, items: DataFrame) -> DataFrame:
+    """The ``item_id`` of the residue rows among ``ids``; only these rows are looked at."""
+    return cut_lineage(find_residue(items.join(ids, "item_id", "left_semi"), exemplar_weights(items), scan_of_table=False).select("item_id").distinct())
+
+
 def without_residue(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """``pairs`` (``item_a, item_b``) without those of residue rows; only rows that are in a pair are looked at."""
     pairs = cut_lineage(pairs)
     ids = pairs.select(F.col("item_a").alias("item_id")).union(pairs.select("item_b")).distinct()
-    bad = cut_lineage(find_residue(items.join(ids, "item_id", "left_semi"), exemplar_weights(items), scan_of_table=False).select("item_id").distinct())
+    bad = residue_among(ids, items)
     return pairs.join(bad, pairs["item_a"] == bad["item_id"], "left_anti").join(bad, pairs["item_b"] == bad["item_id"], "left_anti")
 
 
+def classes_without_residue(members: DataFrame, pairs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` that have a copy or a pair and are no residue, and the ``pairs`` of classes that still have members."""
+    pairs = cut_lineage(pairs)
+    copied = members.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
+    met = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).union(copied).distinct()
+    members = cut_lineage(members.join(met, "d", "left_semi"))
+    members = cut_lineage(members.join(residue_among(members.select("item_id").distinct(), items), "item_id", "left_anti").select("item_id", "d"))
+    left = members.select("d").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(left.withColumnRenamed("d", side), side, "left_semi")
+    return members, pairs.select("a", "b", "likeness")
+
+
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``item_a < item_b`` of every two items in the same class or in classes that are alike."""
     l, r = members.select(F.col("item_id").alias("x"), "d"), members.select(F.col("item_id").alias("y"), "d")
