@@ -92,8 +92,9 @@ def q_distinct_papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_raw_limit_then_gate(spark: SparkSession, d: str) -> DataFrame:
-    """LIM-01: a limit in arrival order, before the gates."""
-    head = _items(spark, d).orderBy("item_id").limit(240)
+    """LIM-01: per batch a limit in arrival order, before the gates."""
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("item_id"))
+    head = _items(spark, d).select("item_id", "source_id", "title", place.alias("place")).filter("place <= 240")
     return head.filter(~op.low_quality(F.col("title"), NOISE_TITLES)).select("item_id", "source_id")
 
 

@@ -88,3 +88,11 @@ def test_sections_of_every_batch(spark):
     got = entry.queries()["q_sections"](spark, str(DATA)).collect()
     assert {r["batch_id"] for r in got} == batches
     assert len({r["item_id"] for r in got}) == len(got) and max(r["place"] for r in got) <= 6
+
+
+def test_raw_limit_is_per_batch(spark, tmp_path):
+    # the limit goes before the gate: of 250 rows a batch 240 are looked at, of which one in five has a title too short
+    rows = [(1000 * b + i, b, "s", "short" if i % 5 == 0 else f"A title that is long enough, number {i} of them all") for b in (1, 2, 3) for i in range(250)]
+    spark.createDataFrame(rows, "item_id long, batch_id int, source_id string, title string").write.parquet(str(tmp_path / "hotspot_items.parquet"))
+    got = entry.queries()["q_raw_limit_then_gate"](spark, str(tmp_path)).collect()
+    assert sorted(r["item_id"] for r in got) == [1000 * b + i for b in (1, 2, 3) for i in range(240) if i % 5]
