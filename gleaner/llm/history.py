@@ -36,7 +36,7 @@ TRACKING = r"^(?:utm_\w+|mc_cid|mc_eid|fbclid|gclid|dclid|gbraid|wbraid|msclkid|
 # Short tags put before a title.
 TAGS = r"(?:new|rt|re|fw|fwd|update|updated|breaking|exclusive|video|watch|live|just in|listen|podcast|read|via|wg|aw|neu|nouveau|nuevo|novo|nuovo)"
 
-WINDOW, LEAST_LENGTH = 10, 8
+WINDOW, SHORT = 10, 8
 LETTER_CLASSES = ("aeiouyаеиоуыэюяёàâáãäåèéêëìíîïòóôõöùúûü", "nrtнрт", "slдлмсckvпкв")
 
 
@@ -88,17 +88,19 @@ def remainder_keys(core: str) -> list[int]:
 
     What comes before the window is counted from the start, what comes after from the end, so that a letter more or less
     inside the window does not move them. Windows overlap by two letters, so that one of them holds the edit; they are
-    shorter in short titles, whose remainders would else be shared by many.
+    shorter in short titles, whose remainders would else be shared by many. Titles of fewer than ``SHORT`` characters
+    have exact keys instead: one without each letter, and one for each two neighbours in either order.
     """
     n = len(core)
     out = []
     for cell in (n, n + 1):
-        width = max(4, min(WINDOW, cell // 3))
-        for i in range(0, max(cell - 1, 1), width - 2):
+        width, step, end = (1, 1, cell) if cell < SHORT else (w := max(4, min(WINDOW, cell // 3)), w - 2, cell - 1)
+        for i in range(0, end, step):
             after = max(cell - i - width, 0)
-            h = xxhash.xxh64_intdigest(f"{cell},{i},{core[:i]}\x01{core[n - after :]}".encode("utf-8", "surrogatepass"))
-            out.append(h - (1 << 63))
-    return out
+            out.append(f"{cell},{i},{core[:i]}\x01{core[n - after :]}")
+    if n < SHORT:
+        out += [f"{n},{i}s{core[:i]}\x01{''.join(sorted(core[i : i + 2]))}\x01{core[i + 2 :]}" for i in range(n - 1)]
+    return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in out]
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +115,7 @@ def misspelt_pairs(table: DataFrame, other: DataFrame | None = None) -> DataFram
     """``a, b`` of titles (``tid, core`` and pivot distances) that differ by one misspelt word; within ``table``, or of ``table`` with ``other``."""
 
     def keyed(df: DataFrame, s: str) -> DataFrame:
-        rows = df.filter(F.col("p0") >= LEAST_LENGTH).select("tid", "core", "p0", "p1", "p2", "p3")
+        rows = df.select("tid", "core", "p0", "p1", "p2", "p3")
         rows = rows.mapInPandas(_keyed, "key bigint, tid bigint, p0 int, p1 int, p2 int, p3 int")
         return rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("tid", "p0", "p1", "p2", "p3")])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from gleaner.llm import queries_p2
+from gleaner.llm import history, queries_p2
 
 ITEM = "item_id long, batch_id int, source_id string, title string, summary string, canonical_url string, lang string"
 WORDS = "amber birch cedar delta ember fjord grove hazel inlet jetty knoll larch maple north ocean pearl quartz ridge stone tidal umber vale willow xenon yarrow zephyr".split()
@@ -23,3 +23,13 @@ def test_groups_leave_out_residue(spark, tmp_path):
     got = {r["item_id"]: (r["group_id"], r["group_size"], r["links"]) for r in queries_p2.p2_groups(spark, str(tmp_path)).collect()}
     assert found == {(0, 100), (1, 101)}
     assert got == {0: (0, 2, 1), 100: (0, 2, 1), 1: (1, 2, 0), 101: (1, 2, 0)}
+
+
+def test_misspelt_pairs_of_short_titles(spark):
+    rng = random.Random(15)
+    titles = {"".join(rng.choice("abé議") for _ in range(rng.randrange(1, 11))) for _ in range(400)} | {"a1", "a2", "teh", "the", "機器人", "機器入"}
+    rows = list(enumerate(sorted(titles)))
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and history.one_misspelling(x, y)}
+    df = history.pivot_table(spark.createDataFrame(rows, "tid long, core string"))
+    got = [tuple(r) for r in history.misspelt_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
