@@ -4,10 +4,12 @@ Identity has two parts. An address or paper number is reduced to a canonical for
 titles the operator keeps a pivot-distance table: for each accepted title the edit distances to fixed pivots, the empty
 string (the length of the title) and, in alphabets that map all letters of a class to one symbol and drop the others, runs
 longer than any title (the number of letters of the class). By the triangle inequality two titles within an edit distance
-differ by no more in any pivot distance, so that the join runs over ranges of the first pivot distance (a cell and its
-neighbour) and equal remainders (the title without one of a few overlapping windows, one of which holds the edit), prunes
-by the other pivots, and verifies the true Levenshtein distance. A batch is joined with the table and its own rows are
-appended; the table is written by range of the first pivot.
+differ by no more in any pivot distance. Candidates come from an equi-join on remainders (the title without one of a few
+overlapping windows, one of which holds the edit); the pivot distances prune them, and the true edit is verified.
+
+``check_batch`` joins one batch with the history table and gives the rows to append. Nothing here writes or partitions that
+table, and remainders are not stored in it: they are made anew for the history titles in the batch's range of lengths. It
+takes items only and looks for no residue, so its callers must leave residue rows out; no query registers it.
 
 A whole table of batches is resolved at once: a row is rejected as soon as a related earlier row is accepted, and accepted
 once all related earlier rows are rejected. Related rows meet in classes (one address, one title, titles one misspelling
@@ -239,8 +241,8 @@ def repeated_papers(papers: DataFrame) -> DataFrame:
 def check_batch(batch: DataFrame, history: DataFrame, source_names: list[str]) -> tuple[DataFrame, DataFrame]:
     """One arriving batch of items against the stored history table (:func:`item_identities` with pivots).
 
-    Returns the repeated rows ``key_a, key_b`` and the accepted rows to append to the table. Only the history's key
-    columns are read, in the ranges the batch's titles fall into.
+    Returns the repeated rows ``key_a, key_b`` and the accepted rows to append to the table. Residue rows must have been
+    left out of both; the remainders of the history's titles in the batch's range of lengths are made anew.
     """
     new = pivot_table(item_identities(batch, source_names))
     low, high = new.agg(F.min("p0") - 1, F.max("p0") + 1).first()
