@@ -200,12 +200,8 @@ def without_residue_rows(items: DataFrame, columns: dict[str, str]) -> DataFrame
     index = ExemplarIndex(exemplar_weights(items))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = index.automaton()
         for pdf in batches:
-            bad = [
-                any(x and index.anchored(automaton, x.lower()) and index.is_residue(x, title) for x, title in ((t, True), (s, False)))
-                for t, s in zip(pdf["title"].array, pdf["_summary"].array)
-            ]
+            bad = [index.holds(t, True) or index.holds(s, False) for t, s in zip(pdf["title"].array, pdf["_summary"].array)]
             yield pdf.loc[~np.array(bad, bool), list(columns)]
 
     schema = ", ".join(f"{c} {kind}" for c, kind in columns.items())

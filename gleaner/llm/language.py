@@ -197,10 +197,9 @@ def label_fields(items: DataFrame, model: Model, source_names: list[str], residu
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
-        automaton = residue.automaton() if residue else None
         for pdf in batches:
             if residue:
-                bad = [any(x and residue.anchored(automaton, x.lower()) and residue.is_residue(x, f == "title") for f, x in zip(fields, row)) for row in zip(*(pdf[f].array for f in fields))]
+                bad = [any(residue.holds(x, f == "title") for f, x in zip(fields, row)) for row in zip(*(pdf[f].array for f in fields))]
                 pdf = pdf[~np.array(bad, bool)]
             texts: list[str] = []
             owner: list[int] = []  # row * fields + field of every piece

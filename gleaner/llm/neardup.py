@@ -305,7 +305,7 @@ def near_classes(items: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
 
 def residue_among(ids: DataFrame, items: DataFrame) -> DataFrame:
     """The ``item_id`` of the residue rows among ``ids``; only these rows are looked at."""
-    return cut_lineage(find_residue(items.join(ids, "item_id", "left_semi"), exemplar_weights(items), scan_of_table=False).select("item_id").distinct())
+    return cut_lineage(find_residue(items.join(ids, "item_id", "left_semi"), exemplar_weights(items)).select("item_id").distinct())
 
 
 def without_residue(pairs: DataFrame, items: DataFrame) -> DataFrame:
