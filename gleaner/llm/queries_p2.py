@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.neardup import all_pairs, classes_without_residue, near_classes, without_residue
+from gleaner.llm.neardup import all_pairs, near_classes
 from gleaner.operators.components import connected_components
 from gleaner.tables import cut_lineage, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "hotspot_items")
-    return without_residue(all_pairs(*near_classes(items)), items)
+    return all_pairs(*near_classes(table(spark, sf_dir, "hotspot_items")))
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per item that has a near-duplicate or copy, residue left out: the group it belongs to and the number of classes linked to its own."""
-    items = table(spark, sf_dir, "hotspot_items")
-    members, pairs = classes_without_residue(*near_classes(items), items)
+    members, pairs = near_classes(table(spark, sf_dir, "hotspot_items"))
     pairs = cut_lineage(pairs)
     labels = connected_components(pairs)
     links = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "d")

@@ -31,3 +31,21 @@ def shingle_hashes(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += wide[j : n + j]
     return doc, mix(h)[first]
+
+
+def shingle_buckets(texts: list[str], k: int, bits: int) -> np.ndarray:
+    """The top ``bits`` of the hash of every substring of ``k`` characters; substrings across texts get one number more."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = codes[:n].copy()
+    for j in range(1, k):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[j : n + j]
+    out = (mix(h) >> np.uint64(64 - bits)).view(np.int64)
+    ends = np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))[:-1]
+    for j in range(1, k):
+        at = ends - j
+        out[at[(at >= 0) & (at < n)]] = 1 << bits
+    return out
