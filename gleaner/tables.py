@@ -24,6 +24,14 @@ def bounded(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def fixed_rows(df: DataFrame, bound: int, what: str) -> list:
+    """The rows of a table that is small by its nature, for the driver; more than ``bound`` of them are an error, never cut off."""
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} {what}: too many to hold on the driver")
+    return rows
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan in at least as many partitions as there are cores, for kernels that work harder than the reader.
 
@@ -38,12 +46,15 @@ def spread(scan: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is read from the session; only where none is set (tests, a single machine) a local one is used.
+    The folder is read from the session. Where none is set a session on one machine (tests) gets a temporary one; on a
+    cluster, whose executors would not see it, that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
         if not folder:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
