@@ -452,17 +452,46 @@ def test_subjects_of_nothing(spark):
 
 def test_gradient_matches_finite_differences():
     rng = np.random.default_rng(1)
-    enc = subjects.Encoded([["harbour", "tide", "reef"], ["cloud", "pilot", "reef", "reef"]])
+    enc = subjects.Encoded([["harbour", "tide", "reef"], ["cloud", "pilot", "reef", "reef"]], np.zeros((2, 2), bool))
+    vectors = lambda t: enc.logits({"table": t, "out": np.zeros((3, 2), np.float32), "bias": np.zeros(2, np.float32)})[0]
     table = rng.normal(0, 1, ((1 << subjects.WORD_BITS) + (1 << subjects.SUB_BITS), 3)).astype(np.float32)
     weight = rng.normal(0, 1, (2, 3)).astype(np.float32)
     grad = enc.scatter(weight, len(table))
     for b in (enc.sub[0], enc.sub[5], enc.sub[-1]):
         moved = table.copy()
         moved[b, 1] += 0.5
-        change = ((enc.vectors(moved) - enc.vectors(table)) * weight).sum() / 0.5
+        change = ((vectors(moved) - vectors(table)) * weight).sum() / 0.5
         assert abs(change - grad[b, 1]) < 1e-3
 
 
+def test_gradients_add_up_over_partitions():
+    rng = random.Random(4)
+    texts = [subjects.sentences(topic_sentence(rng, rng.choice(sorted(TOPICS))))[0] for _ in range(60)]
+    allowed = np.random.default_rng(2).random((60, 3)) < 0.4
+    params = subjects.start(3)
+    whole = subjects.gradient(subjects.Encoded(texts, allowed), params, 0.5)
+    parts = [subjects.gradient(subjects.Encoded(texts[a:b], allowed[a:b]), params, 0.5) for a, b in ((0, 17), (17, 18), (18, 60))]
+    for k in whole:
+        assert np.allclose(whole[k], sum(p[k] for p in parts), atol=1e-4)
+
+
+def test_scorer_matches_the_model():
+    rng = random.Random(6)
+    params = subjects.start(3)
+    raw = [topic_sentence(rng, "sea"), "Too short", "", "  ", "Half-open (reefs), tides & 12 harbours!", topic_sentence(rng, "sea").upper()]
+    kept, got = subjects.Scorer(params["table"] @ params["out"], params["bias"]).logits(raw)
+    words = [w for x in raw for w in subjects.sentences(x)]
+    assert kept.tolist() == [True, False, False, False, True, True]
+    assert np.allclose(got, subjects.Encoded(words, np.zeros((len(words), 3), bool)).logits(params)[1], atol=1e-4)
+
+
+def test_thresholds_fire_as_often_as_targets():
+    logits = np.random.default_rng(0).normal(0, 2, (4000, 2))
+    counts = np.stack([np.bincount(np.clip(np.searchsorted(subjects._EDGES, logits[:, j]), 0, 128 + 1), minlength=130) for j in range(2)], 1)
+    cut = subjects.thresholds(np.array([(logits[:, 0] > -0.5).sum(), 0]), counts)
+    assert abs(cut[0] + 0.5) < 0.1 and np.isclose(cut[1], 0.0)
+
+
 # --- the registered queries --------------------------------------------------------------------------------------------
 
 
