@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +45,31 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if parts >= cores or not parts else scan.repartition(cores)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, as the session names it.
 
-    The folder is read from the session. Where none is set a session on one machine (tests) gets a temporary one; on a
-    cluster, whose executors would not see it, that is an error.
+    Where none is set a session on one machine (tests) gets a temporary one; on a cluster, whose executors would not see it,
+    that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder:
-            if not sc.master.split("[")[0] == "local":
+            if sc.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path for a table that is written and read again, in the folder that all executors share."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the folder the cluster names in ``spark.checkpoint.dir``."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
