@@ -306,7 +306,7 @@ def count_fields(texts: Iterable[str | None], vocabulary: Vocabulary | None = No
 def weights_of(counts: dict[str, int]) -> dict[str, float]:
     """Inverse document frequencies from the counts of :func:`count_fields`."""
     total = counts.get(EVERY, 0)
-    return {t: math.log((total + 1) / (counts[p] + 1)) + 1 for t, p in _PARTS.items() if p in counts}
+    return {t: math.log((total + 1) / (counts.get(p, 0) + 1)) + 1 for t, p in _PARTS.items()} if total else {}
 
 
 def exemplar_weights(items: DataFrame, fields: tuple[str, ...] = ("title", "summary")) -> dict[str, float]:
