@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.history import repeated_items, repeated_papers
-from gleaner.tables import table
+from gleaner.llm.history import last_batch, repeated_items, repeated_papers
+from gleaner.tables import shared_folder, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,12 @@ def p4_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_papers(table(spark, sf_dir, "papers"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_papers": p4_papers}
+def p4_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated items of the newest batch alone, found against the stored pivot-distance table of the batches before it."""
+    return last_batch(table(spark, sf_dir, "hotspot_items"), table(spark, sf_dir, "sources"), shared_folder(spark, "history"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_papers": p4_papers, "p4_last_batch": p4_last_batch}
 SQL = {
     "p4_papers": r"""
         WITH r AS (
