@@ -1,8 +1,8 @@
 """Problem 1: language of every document field and of every stretch of a mixed field.
 
 A multinomial naive Bayes over hashed character n-grams. The counts are fitted on a bounded sample of rows by their
-declared labels (``SAMPLE`` rows at most, taken by a hash of the key), in two rounds: the second round drops rows whose
-first prediction contradicts the declared label, so that wrong labels do not stay in the model. Short seed texts per
+declared labels (about ``SAMPLE`` rows, taken by a hash of the key), in three rounds: after the first, rows whose prediction
+contradicts the declared label are dropped, so that wrong labels do not stay in the model. Short seed texts per
 language keep tiny tables usable. The matrix of log-probabilities (2**16 buckets by nine languages) is broadcast; every
 field of every row is cut into pieces (sentences, lines, parts set off by a dash, bar or slash), pieces are scored in
 batches with numpy, and a Viterbi pass over the pieces of a mixed field with a cost for changing the language gives the
@@ -16,6 +16,7 @@ length are scored whole; an empty table gives an empty result; further columns a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.residue import ExemplarIndex, exemplar_weights
-from gleaner.tables import spread
+from gleaner.tables import cut_lineage, fixed_rows, spread
 
 LANGS = ("en", "de", "fr", "es", "pt", "it", "ru", "zh", "ja")
-BUCKET_BITS, ORDERS, SAMPLE, SWITCH_COST = 16, (2, 3, 4), 20_000, 6.0
+BUCKET_BITS, ORDERS, SAMPLE, PART, SWITCH_COST = 16, (2, 3, 4), 20_000, 4000, 6.0
 
 # Codes and English names of the languages.
 LABELS = {
@@ -120,50 +121,89 @@ def hash_word(word: str) -> int:
     return h
 
 
+Row = tuple[int, str]  # number of the declared language, text
+
+
+def rows_of(sample: list[tuple[str, str | None, str | None]]) -> list[Row]:
+    """The usable rows of (declared language, title, summary)."""
+    rows = [(LANGS.index(lang), " ".join(x for x in (t, s) if x)) for lang, t, s in sample if lang in LANGS]
+    return [(i, x) for i, x in rows if x.strip()]
+
+
+_SEED_ROWS = [(LANGS.index(lang), x) for lang, x in SEEDS.items()]
+
+
+def counts_of(rows: list[Row], model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of n-grams by bucket and language, and lower-case words (hashes) with the rows that hold them; only rows whose label ``model`` confirms."""
+    if model is not None and rows:
+        guess = model.scores([x for _, x in rows]).argmax(1)
+        rows = [r for r, g in zip(rows, guess) if r[0] == g]
+    counts = np.zeros((1 << BUCKET_BITS, len(LANGS)), np.int32)
+    for i in range(len(LANGS)):
+        texts = [_padded(x) for j, x in rows if j == i]
+        for order in ORDERS if texts else ():
+            counts[:, i] += np.bincount(_features(texts, order)[0], minlength=(1 << BUCKET_BITS) + 1)[:-1].astype(np.int32)
+    words = [hash_word(w) for _, x in rows for w in {w for w in _WORDS.findall(_NO_PROSE.sub(" ", x)) if len(w) > 1 and w.islower()}]
+    return counts, *np.unique(np.array(words, np.int64), return_counts=True)
+
+
+def model_of(counts: np.ndarray, words: frozenset[int]) -> Model:
+    """The matrix of log-probabilities. All languages are on the same footing: shares, smoothed by the pooled share."""
+    share = counts / np.maximum(counts.sum(0), 1)
+    pooled = share.mean(1, keepdims=True) + 1e-8
+    logp = np.log(share * 0.98 + pooled * 0.02)
+    logp -= logp.mean(1, keepdims=True)
+    return Model(np.vstack([logp, np.zeros((1, len(LANGS)))]).astype(np.float32), words)
+
+
+def _fit_rounds(parts) -> Model:  # noqa: ANN001
+    """The model after three rounds; ``parts(model)`` gives :func:`counts_of` of each part of the sample under the model of the round before."""
+    seeds = counts_of(_SEED_ROWS, None)
+    seeded = frozenset(hash_word(w) for x in SEEDS.values() for w in x.split())
+    model = None
+    for _ in range(3):
+        found = [*parts(model), seeds]
+        total = np.sum([c for c, _, _ in found], axis=0, dtype=np.float64)
+        model = model_of(total, seeded)
+    words, back = np.unique(np.concatenate([w for _, w, _ in found]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([k for _, _, k in found]))
+    # a word is language if the model's seeds have it or two rows hold it in lower case
+    return Model(model.table, seeded | frozenset(words[n >= 2].tolist()))
+
+
 def fit(sample: list[tuple[str, str | None, str | None]]) -> Model:
     """The model from rows of (declared language, title, summary)."""
-    rows = [(LANGS.index(lang), " ".join(x for x in (t, s) if x)) for lang, t, s in sample if lang in LANGS]
-    rows = [(i, x) for i, x in rows if x.strip()]
-    keep = np.ones(len(rows), bool)
-    seeds = [(LANGS.index(lang), x) for lang, x in SEEDS.items()]
-    model = Model(np.zeros(((1 << BUCKET_BITS) + 1, len(LANGS)), np.float32), frozenset())
-    for round_ in range(3):
-        counts = np.zeros((1 << BUCKET_BITS, len(LANGS)), np.float64)
-        used = [r for r, k in zip(rows, keep) if k] + seeds
-        for i in range(len(LANGS)):
-            texts = [_padded(x) for j, x in used if j == i]
-            for order in ORDERS:
-                bucket, _ = _features(texts, order)
-                counts[:, i] += np.bincount(bucket, minlength=(1 << BUCKET_BITS) + 1)[:-1]
-        # all languages on the same footing: shares, smoothed by the pooled share
-        share = counts / np.maximum(counts.sum(0), 1)
-        pooled = share.mean(1, keepdims=True) + 1e-8
-        logp = np.log(share * 0.98 + pooled * 0.02)
-        logp -= logp.mean(1, keepdims=True)
-        model = Model(np.vstack([logp, np.zeros((1, len(LANGS)))]).astype(np.float32), frozenset())
-        if round_ < 2 and rows:
-            guess = model.scores([x for _, x in rows]).argmax(1)
-            keep = guess == np.array([i for i, _ in rows])
-    words: dict[int, int] = {}
-    for _, x in [*((i, x) for (i, x), k in zip(rows, keep) if k), *seeds]:
-        for w in {w for w in _WORDS.findall(_NO_PROSE.sub(" ", x)) if len(w) > 1 and w.islower()}:
-            k = hash_word(w)
-            words[k] = words.get(k, 0) + 1
-    least = 2 if len(rows) > 2000 else 1
-    seeded = {hash_word(w) for x in SEEDS.values() for w in x.split()}
-    return Model(model.table, frozenset(k for k, n in words.items() if n >= least or k in seeded))
+    rows = rows_of(sample)
+    return _fit_rounds(lambda model: [counts_of(rows, model)])
 
 
 def fit_on(items: DataFrame, bound: int = SAMPLE, key: str = "item_id") -> Model:
-    """:func:`fit` on at most about ``bound`` rows that declare one of the languages, picked by a hash of the key."""
-    names = sorted(LABEL_OF)
+    """:func:`fit` on about ``bound`` rows that declare one of the languages, picked by a hash of the key (all, where there are fewer).
+
+    The counts are made in the executors and added up: one matrix of fixed size for each of a few partitions.
+    """
+    spark = items.sparkSession
     head = F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]+)", 1))
-    labelled = items.filter(head.isin(names)).select(head.alias("label"), "title", "summary", F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)).alias("h"))
+    labelled = items.filter(head.isin(sorted(LABEL_OF))).select(head.alias("label"), "title", "summary", F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)).alias("h"))
     total = labelled.count()
     if not total:
         return fit([])
-    rows = labelled.filter(F.col("h") < int(1_000_000 * min(1.0, bound / total))).select("label", "title", "summary").limit(2 * bound).toPandas()
-    return fit([(LABEL_OF[a], t, s) for a, t, s in zip(rows["label"], rows["title"], rows["summary"])])
+    share = min(1.0, bound / total)
+    sample = cut_lineage(labelled.filter(F.col("h") < int(1_000_000 * share)).repartition(max(1, round(total * share / PART)), "h").select("label", "title", "summary"))
+
+    def parts(model: Model | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shared = spark.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [r for pdf in batches for r in rows_of([(LABEL_OF[a], t, s) for a, t, s in zip(pdf["label"].array, pdf["title"].array, pdf["summary"].array)])]
+            if rows:
+                counts, words, n = counts_of(rows, shared.value)
+                yield pd.DataFrame({"counts": [zlib.compress(counts.tobytes(), 1)], "words": [words.tobytes()], "n": [n.tobytes()]})
+
+        found = sample.mapInPandas(count, "counts binary, words binary, n binary").collect()
+        return [(np.frombuffer(zlib.decompress(r[0]), np.int32).reshape(-1, len(LANGS)), np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64)) for r in found]
+
+    return _fit_rounds(parts)
 
 
 def stretches(score: np.ndarray, lengths: np.ndarray) -> list[tuple[int, float]]:
@@ -230,8 +270,8 @@ def label_fields(items: DataFrame, model: Model, source_names: list[str], residu
                 a, b = edge[g], edge[g + 1]
                 r, f = divmod(int(own[a]), len(fields))
                 if same[g]:
-                    # a long text of one language has words; only short ones can be mere names
-                    if size[g] > 120 or any(m.linguistic(texts[order[i]]) and texts[order[i]].strip().lower() not in names for i in range(a, b)):
+                    # a text without a word of any language is mere names
+                    if any(m.linguistic(texts[order[i]]) and texts[order[i]].strip().lower() not in names for i in range(a, b)):
                         out.append((ids[r], declared_as[r], fields[f], 1, LANGS[top[a]], soft[g]))
                     continue
                 real = [i for i in range(a, b) if texts[order[i]].strip().lower() not in names and m.linguistic(texts[order[i]])]
@@ -258,5 +298,5 @@ def mislabelled(labelled: DataFrame) -> DataFrame:
 
 def language_report(items: DataFrame, sources: DataFrame) -> DataFrame:
     """:func:`label_fields` with the model and the residue index fitted on ``items``."""
-    names = [r[0] for r in sources.select("source_name").distinct().limit(10_000).collect() if r[0]]
+    names = [r[0] for r in fixed_rows(sources.select("source_name").filter("source_name is not null").distinct(), 1_000_000, "source names")]
     return label_fields(items, fit_on(items), names, ExemplarIndex(exemplar_weights(items)))
