@@ -10,7 +10,8 @@ At scale: all planning works on counts by length, at most one row per possible l
 and not on the number of documents. Containers in the plan are run-length coded: a run of containers that hold the same
 lengths is one entry, and an entry gives the next ``n`` documents of one length to ``n`` consecutive containers. Documents
 find their entry by their rank among those of equal length; ranks come from windows over (length, salt) and prefix sums of
-the counts, so no length gathers all its documents in one task. Only the plan is broadcast.
+the counts. A length has as many salts as it has ``CHUNK`` documents, so no length gathers all its documents in one task, and the
+driver holds one count for each length and for each ``CHUNK`` documents. Only the plan is broadcast.
 
 Defined results: null and empty texts take no space and are given no container; repeated documents are packed one by one;
 a document of exactly the capacity fills a container; an empty table gives an empty result; further columns are ignored.
@@ -23,18 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.tables import cut_lineage, spread
+from gleaner.tables import cut_lineage, fixed_rows, spread
 
-GROUPS, SMALL, SALTS, FULL_SALTS = 256, 6, 16, 1024
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+GROUPS, SMALL, CHUNK = 256, 6, 200_000
 #: How the tokenizer of the vocabulary cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def token_counts(documents: DataFrame, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, tokens`` by a byte-level vocabulary whose file is read on the driver and broadcast (fixed in size)."""
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -200,35 +200,40 @@ class Plan:
 
 def pack(tokens: DataFrame, packs: DataFrame) -> DataFrame:
     """``pack_id, doc_id, piece, tokens, container`` for ``doc_id, tokens`` and each of the (few) ``pack_id, capacity_tokens``."""
-    sizes = {r[0]: r[1] for r in packs.filter("capacity_tokens > 0").select("pack_id", "capacity_tokens").limit(1000).collect()}
+    sizes = {r[0]: r[1] for r in fixed_rows(packs.filter("capacity_tokens > 0").select("pack_id", "capacity_tokens"), 1000, "capacities")}
     spark = tokens.sparkSession
     schema = "pack_id int, doc_id bigint, piece int, tokens bigint, container bigint"
     if not sizes:
         return spark.createDataFrame([], schema)
     tokens = cut_lineage(tokens.filter("tokens > 0"))
     dims = F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in sorted(sizes.items())])
-    docs = tokens.select("*", F.inline(dims)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    docs = docs.withColumn("full_salt", F.pmod(F.xxhash64("doc_id"), F.lit(FULL_SALTS)).cast("int"))
+    docs = tokens.select("*", F.inline(dims))
     docs = docs.withColumns({"full": F.floor(F.col("tokens") / F.col("capacity")).cast("bigint"), "rest": F.col("tokens") % F.col("capacity")})
-    # counts by length and salt: at most capacity * SALTS rows a pack, whatever the number of documents
-    counts = docs.filter("rest > 0").groupBy("pack_id", "rest", "salt").agg(F.count("*").alias("n")).toPandas()
+    # counts by length: at most one row for each length up to the capacity, whatever the number of documents
+    counts = docs.filter("rest > 0").groupBy("pack_id", "rest").agg(F.count("*").alias("n")).toPandas()
+    longer = {r["pack_id"]: r["n"] for r in docs.filter("full > 0").groupBy("pack_id").agg(F.count("*").alias("n")).collect()}
+    hot = counts[counts["n"] > CHUNK]
+    salts = spark.createDataFrame([(int(p), int(r), -(-int(n) // CHUNK)) for p, r, n in zip(hot["pack_id"], hot["rest"], hot["n"])], "pack_id int, rest bigint, salts int")
+    full_salts = F.coalesce(F.element_at(F.create_map(F.lit(-1), F.lit(1), *[F.lit(x) for p, n in longer.items() for x in (p, -(-n // CHUNK))]), F.col("pack_id")), F.lit(1))
+    salted = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int")
+    docs = docs.join(F.broadcast(salts), ["pack_id", "rest"], "left").withColumns({"salt": salted, "full_salt": F.pmod(F.xxhash64("doc_id"), full_salts).cast("int")})
+    parts = docs.filter("rest > 0 and salts is not null").groupBy("pack_id", "rest", "salt").agg(F.count("*").alias("n")).toPandas() if len(hot) else None
     fulls = docs.filter("full > 0").groupBy("pack_id", "full_salt").agg(F.sum("full").alias("n")).toPandas()
-    plans, offsets, full_at, total = {}, {}, {}, {}
+    plans, offsets, full_at = {}, {}, {}
     for pack_id, capacity in sizes.items():
-        own = counts[counts["pack_id"] == pack_id].sort_values(["rest", "salt"])
-        plan = Plan(capacity, own.groupby("rest")["n"].sum().to_dict())
+        own = counts[counts["pack_id"] == pack_id]
+        plan = Plan(capacity, dict(zip(own["rest"].tolist(), own["n"].tolist())))
         plans[pack_id] = plan.table()
-        before = own.groupby("rest")["n"].cumsum() - own["n"]
-        grid = np.zeros((capacity + 1, SALTS), np.int64)
-        grid[own["rest"], own["salt"]] = before
-        offsets[pack_id] = grid
-        f = fulls[fulls["pack_id"] == pack_id].sort_values("full_salt")
-        start = np.zeros(FULL_SALTS, np.int64)
-        start[f["full_salt"]] = plan.containers + f["n"].cumsum() - f["n"]
-        full_at[pack_id] = start
+        if parts is not None:  # documents of the length under the salts before
+            for rest, part in parts[parts["pack_id"] == pack_id].groupby("rest"):
+                before = np.zeros(int(part["salt"].max()) + 2, np.int64)
+                before[part["salt"].to_numpy() + 1] = part["n"]
+                offsets[pack_id, int(rest)] = np.cumsum(before)
+        f = fulls[fulls["pack_id"] == pack_id]
+        start = np.zeros(max(1, -(-longer.get(pack_id, 0) // CHUNK)) + 1, np.int64)
+        start[f["full_salt"].to_numpy() + 1] = f["n"]
+        full_at[pack_id] = plan.containers + np.cumsum(start)
     shared = spark.sparkContext.broadcast((plans, offsets, full_at))
-    from pyspark.sql import Window
-
     in_length = Window.partitionBy("pack_id", "rest", "salt").orderBy("doc_id")
     in_salt = Window.partitionBy("pack_id", "full_salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rests = docs.filter("rest > 0").withColumn("rank", F.row_number().over(in_length) - 1).select("pack_id", "doc_id", "rest", "salt", "rank", "full")
@@ -240,12 +245,15 @@ def pack(tokens: DataFrame, packs: DataFrame) -> DataFrame:
             container = np.zeros(len(pdf), np.int64)
             pack_ids, length = pdf["pack_id"].to_numpy(), pdf["rest"].to_numpy()
             rank = pdf["rank"].to_numpy().astype(np.int64)
+            salt = pdf["salt"].to_numpy()
             for p in np.unique(pack_ids):
                 at = np.flatnonzero(pack_ids == p)
-                rank[at] += offsets[p][length[at], pdf["salt"].to_numpy()[at]]
                 at = at[np.argsort(length[at], kind="stable")]
                 for part in np.split(at, np.flatnonzero(np.diff(length[at])) + 1):
                     ranks, begins = plans[p][int(length[part[0]])]
+                    before = offsets.get((int(p), int(length[part[0]])))
+                    if before is not None:
+                        rank[part] += before[salt[part]]
                     i = np.searchsorted(ranks, rank[part], "right") - 1
                     container[part] = begins[i] + rank[part] - ranks[i]
             yield pd.DataFrame({"pack_id": pack_ids, "doc_id": pdf["doc_id"], "piece": pdf["full"].astype("int32"), "tokens": length, "container": container})

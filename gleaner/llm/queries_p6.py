@@ -9,9 +9,13 @@ from gleaner.llm.packing import pack, token_counts
 from gleaner.tables import table
 
 
+#: The vocabulary file, unless the session names another in ``spark.gleaner.vocabulary``.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document (of every piece, where it is longer than a container) for each capacity."""
-    return pack(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
+    return pack(token_counts(table(spark, sf_dir, "documents"), spark.conf.get("spark.gleaner.vocabulary", VOCABULARY)), table(spark, sf_dir, "pack_sizes"))
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
