@@ -2,18 +2,22 @@
 
 The corpus is cut into shards of about ``SHARD`` words as it streams through the executors. Each shard gets an FM-index over
 its words (those of the passages by number, all others one symbol): the Burrows-Wheeler transform from a suffix array by
-prefix doubling, ranks from a wavelet matrix, and suffix positions sampled every ``EVERY`` words. The probe phrases, all
-word triples of a passage that at most ``SHARED`` passages hold, are found by backward search, all at once, and located
-through the sampled positions. Half a passage holds far more than ``HITS``
-probes even with some words replaced; where that many lie close together the passage is aligned exactly: runs of equal words are chained
-in the order of both texts, over small gaps and one larger break, and the words of the best chain are counted.
+prefix doubling, ranks from a wavelet matrix, and suffix positions sampled every ``EVERY`` words. The probe phrases, word
+triples of the passages, are found by backward search, all at once, and located through the sampled positions. A triple that
+more than ``SHARED`` passages hold is left out only where every half of its passage keeps enough others. Where as many probes lie
+close together as an unbroken half of the passage holds (``HITS`` at most) the passage is aligned exactly: runs of equal words are
+chained in the order of both texts, over small gaps and one larger break, and the words of the best chain are counted.
+
+The stretches of text that the chains cover are the removal spans; :func:`removal_spans` gives them in characters, overlapping
+ones merged, with the items found in each.
 
 Only the passages (fixed in size) are broadcast. A probe is located wherever it occurs, however often, so a passage that a
 third of all documents hold is found in each of them. Equal texts within a shard are indexed once.
 
-Defined results: null and empty texts and passages give no row; passages of fewer than three words are not searched;
-repeated documents each give theirs; texts of any length are read whole; an empty table gives an empty result; further
-columns are ignored.
+Defined results: null and empty texts and passages give no row; passages of fewer than three words are not searched, those of
+fewer than six by the longest phrase that half of them holds; repeated documents each give theirs; texts of any length are read
+whole; an empty table gives an empty result; further columns are ignored. A leak made of single words and pairs only, without
+``HITS`` triples, is not found.
 """
 
 from __future__ import annotations
@@ -22,14 +26,13 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.tables import spread
+from gleaner.tables import fixed_rows, spread
 
 SHARD, EVERY, SHARED, PROBE, HITS = 400_000, 8, 2, 3, 4
 GAP, BREAK, LEAST = 6, 200, 0.5
@@ -135,24 +138,56 @@ class FMIndex:
         return which, place
 
 
-def held_words(passage: np.ndarray, text: np.ndarray) -> int:
-    """Most words of the passage that one stretch of the text holds in order, over gaps up to ``GAP`` words (on either side) and one break."""
-    # runs of at least two equal words along a diagonal
-    q, p = np.nonzero(passage[:, None] == text[None, :])
-    if not len(q):
-        return 0
-    order = np.lexsort((p, p - q))
-    q, p = q[order], p[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(p - q) != 0) | (np.diff(p) != 1), True])
-    runs = [(int(p[a]), int(q[a]), int(b - a)) for a, b in zip(cut[:-1], cut[1:]) if b - a >= 2]
-    runs.sort()
-    best: list[tuple[int, int]] = []  # words of the best chain that ends with the run: without and with the break
-    top = 0
+def equal_runs(passages: list[np.ndarray], texts: list[np.ndarray]) -> list[tuple[list[tuple[int, int, int]], bool]]:
+    """For each passage and its stretch of text: the ``(text position, passage position, length)`` of the runs of two or more equal words, in text order, and whether they can hold half of the passage."""
+    n = len(passages)
+    sizes, lengths = (np.fromiter(map(len, x), np.int64, n) for x in (passages, texts))
+    of_q, of_p = np.repeat(np.arange(n), sizes), np.repeat(np.arange(n), lengths)
+    width = max(int(x.max(initial=0)) for x in (*passages, *texts)) + 1
+    words_q, words_p = np.concatenate(passages) + of_q * width, np.concatenate(texts) + of_p * width
+    # positions of each word in its passage, by a sorted copy: as large as the matches, not as passage times text
+    order = np.argsort(words_q, kind="stable")
+    ordered = words_q[order]
+    left, right = np.searchsorted(ordered, words_p, "left"), np.searchsorted(ordered, words_p, "right")
+    count = right - left
+    p = np.repeat(np.arange(len(words_p)), count)
+    q = order[np.repeat(left - (np.cumsum(count) - count), count) + np.arange(len(p))]
+    own = of_p[p]
+    by = np.lexsort((p, p - q, own))
+    p, q, own = p[by], q[by], own[by]
+    cut = np.flatnonzero(np.r_[True, (np.diff(p - q) != 0) | (np.diff(p) != 1) | (np.diff(own) != 0), True])
+    length = np.diff(cut)
+    long = length >= 2
+    # no chain holds more than the passage positions on diagonals that have a run
+    held = np.isin(p - q, (p - q)[cut[:-1][long]])
+    enough = np.bincount(of_q[np.unique(q[held])], minlength=n) >= LEAST * sizes
+    at, length = cut[:-1][long], length[long]
+    by = np.lexsort((q[at], p[at]))
+    at, length = at[by], length[by]
+    own = own[at]
+    begin_p, begin_q = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
+    edge = np.searchsorted(own, np.arange(n + 1))
+    return [
+        (list(zip((p[at[a:b]] - begin_p[i]).tolist(), (q[at[a:b]] - begin_q[i]).tolist(), length[a:b].tolist())), True) if enough[i] else ([], False)
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:]))
+    ]
+
+
+def held_words(passage: np.ndarray, text: np.ndarray, runs: list[tuple[int, int, int]] | None = None) -> tuple[int, int, int]:
+    """Most words of the passage that one stretch of the text holds in order, over gaps up to ``GAP`` words (on either side) and one break; and that stretch.
+
+    Where they cannot be half of the passage the answer is (0, 0, 0).
+    """
+    if runs is None:
+        runs = equal_runs([passage], [text])[0][0]
+    longest = max((n for _, _, n in runs), default=0)
+    best: list[tuple[int, int, int, int]] = []  # words of the best chain that ends with the run, and its begin: without and with the break
+    top, span = 0, (0, 0)
     for i, (pi, qi, n) in enumerate(runs):
-        plain, broken = n, 0
+        plain, begin, broken, begun = n, pi, 0, pi
         for j in range(i - 1, -1, -1):
             pj, qj, m = runs[j]
-            if pi - pj > BREAK + 400:
+            if pi - pj > BREAK + longest:
                 break
             over = max(0, qj + m - qi, pj + m - pi)  # an overlap belongs to the earlier run
             if qi <= qj or n - over < 1:
@@ -160,19 +195,27 @@ def held_words(passage: np.ndarray, text: np.ndarray) -> int:
             gap = pi + over - (pj + m)
             skipped = qi + over - (qj + m)
             gain = n - over
-            if 0 < gap == skipped <= 6:
+            if 0 < gap == skipped <= GAP:
                 gain += int((passage[qj + m : qi + over] == text[pj + m : pi + over]).sum())
             if skipped > GAP:
                 continue
             if gap <= GAP:
-                plain = max(plain, best[j][0] + gain)
-                if best[j][1]:
-                    broken = max(broken, best[j][1] + gain)
-            elif gap <= BREAK:
-                broken = max(broken, best[j][0] + n - over)
-        best.append((plain, broken))
-        top = max(top, plain, broken)
-    return top
+                if best[j][0] + gain > plain:
+                    plain, begin = best[j][0] + gain, best[j][1]
+                if best[j][2] and best[j][2] + gain > broken:
+                    broken, begun = best[j][2] + gain, best[j][3]
+            elif gap <= BREAK and best[j][0] + n - over > broken:
+                broken, begun = best[j][0] + n - over, best[j][1]
+        best.append((plain, begin, broken, begun))
+        for held, since in ((plain, begin), (broken, begun)):
+            if held > top:
+                top, span = held, (since, pi + n)
+    return top, *span
+
+
+def needed_hits(n: int) -> int:
+    """Probes that an unbroken half of a passage of ``n`` words holds, ``HITS`` at most."""
+    return min(HITS, max(1, -(-n // 2) - PROBE + 1))
 
 
 class Probes:
@@ -183,89 +226,174 @@ class Probes:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in split for w in ws}), 2)}  # 1: any other word
         self.ids = [i for i, ws in split if len(ws) >= PROBE]
         self.passages = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in split if len(ws) >= PROBE]
+        self.need = np.array([needed_hits(len(ws)) for ws in self.passages], np.int64)
+        # passages whose half is shorter than a probe get shorter ones
+        size = [min(PROBE, -(-len(ws) // 2)) for ws in self.passages]
+        grams = [[tuple(ws[j : j + k].tolist()) for j in range(len(ws) - k + 1)] for ws, k in zip(self.passages, size)]
         at: dict[tuple, set[int]] = {}
-        for k, ws in enumerate(self.passages):
-            for j in range(len(ws) - PROBE + 1):
-                at.setdefault(tuple(ws[j : j + PROBE]), set()).add(k)
-        # a passage that shares all its triples keeps them all
-        few = {t for t, ks in at.items() if len(ks) <= SHARED}
-        poor = {k for k, ws in enumerate(self.passages) if sum(tuple(ws[j : j + PROBE]) in few for j in range(len(ws) - PROBE + 1)) < 4}
-        chosen = [(t, k) for t, ks in sorted(at.items()) for k in sorted(ks) if t in few or k in poor]
-        self.phrases = np.array([t for t, _ in chosen], np.int64).reshape(-1, PROBE)
-        self.owner = np.array([k for _, k in chosen], np.int64)
+        for k, gs in enumerate(grams):
+            for g in gs:
+                at.setdefault(g, set()).add(k)
+        few = {g for g, ks in at.items() if len(ks) <= SHARED}
+        chosen: set[tuple[tuple, int]] = set()
+        for k, gs in enumerate(grams):
+            own = [g in few for g in gs]
+            half = max(1, -(-len(self.passages[k]) // 2) - size[k] + 1)
+            spare = min(half, 2 * HITS)
+            lean = any(sum(own[j : j + half]) < spare for j in range(len(gs) - half + 1))  # some half would keep too few
+            chosen |= {(g, k) for g, mine in zip(gs, own) if mine or lean}
+        ordered = sorted(chosen)
+        #: phrases of each length as rows of symbols, with the passages they belong to
+        self.phrases = [(np.array([g for g, _ in part], np.int64), np.array([k for _, k in part], np.int64)) for n in (2, 3) if (part := [x for x in ordered if len(x[0]) == n])]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._stretches: dict[str, int] = {}
+        self._count, self._begin, self._flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._used = 0
+
+    def _stretch(self, raw: str) -> int:
+        k = len(self._stretches)
+        if k == len(self._count):
+            self._count, self._begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self._count, self._begin))
+        found = np.array([self.vocabulary.get(w, 1) for w in words(raw)], np.int64)
+        self._stretches[raw] = k
+        self._count[k], self._begin[k] = len(found), self._used
+        while self._used + len(found) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._used : self._used + len(found)] = found
+        self._used += len(found)
+        return k
+
+    def stretches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The number of words in each stretch between white space (tags blanked), and the symbols of all words."""
+        if "<" in text:
+            text = _TAG.sub(lambda m: " " * len(m.group(0)), text)
+        if len(self._stretches) > 400_000:
+            self._forget()
+        get, new = self._stretches.get, self._stretch
+        found = np.array([k if (k := get(x)) is not None else new(x) for x in text.split()], np.int64)
+        count = self._count[found]
+        at = np.repeat(self._begin[found] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return count, self._flat[at]
 
     def symbols(self, text: str) -> np.ndarray:
-        found = words(text)
-        return np.fromiter(map(self.vocabulary.get, found, repeat(1)), np.int64, len(found))
+        return self.stretches(text)[1]
 
+    def word_places(self, text: str) -> np.ndarray:
+        """Begin and end, in characters of the text, of the stretch that holds each word."""
+        if "<" in text:
+            text = _TAG.sub(lambda m: " " * len(m.group(0)), text)
+        places = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int64).reshape(-1, 2)
+        return np.repeat(places, self.stretches(text)[0], axis=0)
 
-def leaks_in_shard(probes: Probes, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """``(text number, passage number, words held)`` of every leak in one shard."""
-    if not len(probes.phrases) or not texts:
+    def __getstate__(self) -> dict:
+        self._forget()
+        return self.__dict__
+
+
+def leaks_in_shard(probes: Probes, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+    """``(text number, passage number, words held, first word, end)`` of every leak in one shard: the best stretch for a pair, and every other one."""
+    if not probes.phrases or not texts:
         return []
     # texts are kept apart by the symbol of other words, which no phrase holds
     parts = [x for t in texts for x in (t, np.ones(1, np.int64))]
-    flat = np.concatenate(parts)
-    index = FMIndex(flat, len(probes.vocabulary) + 2)
-    which, place = index.locate(*index.search(probes.phrases))
-    if not len(which):
+    index = FMIndex(np.concatenate(parts), len(probes.vocabulary) + 2)
+    found = [(owner[which], place) for phrases, owner in probes.phrases for which, place in [index.locate(*index.search(phrases))]]
+    owner, place = (np.concatenate(x) for x in zip(*found))
+    if not len(owner):
         return []
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     doc = np.searchsorted(begins, place, "right") - 1
-    pair = doc * len(probes.passages) + probes.owner[which]
+    pair = doc * len(probes.passages) + owner
     order = np.lexsort((place, pair))
     pair, place = pair[order], place[order]
     edge = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True])
-    out = []
-    for a, b in zip(edge[:-1], edge[1:]):
-        if b - a < HITS:
-            continue
+    many = np.diff(edge) >= probes.need[pair[edge[:-1]] % len(probes.passages)]
+    near: list[tuple[int, int, int, int]] = []  # text, passage and the words to look at
+    for a, b in zip(edge[:-1][many].tolist(), edge[1:][many].tolist()):
         d, k = divmod(int(pair[a]), len(probes.passages))
-        passage = probes.passages[k]
-        n = len(passage)
+        n = len(probes.passages[k])
         spots = place[a:b] - begins[d]
         # groups of hits close enough for one stretch with a break
-        for group in np.split(spots, np.flatnonzero(np.diff(spots) > BREAK + n) + 1):
-            if len(group) < HITS:
-                continue
-            window = texts[d][max(0, int(group[0]) - n - GAP) : int(group[-1]) + n + GAP + PROBE]
-            held = held_words(passage, window)
-            if held >= LEAST * n:
-                out.append((d, k, held))
-                break
+        cuts = [0, *(np.flatnonzero(np.diff(spots) > BREAK + n) + 1).tolist(), len(spots)]
+        near += [(d, k, max(0, int(spots[lo]) - n - GAP), int(spots[hi - 1]) + n + GAP + PROBE) for lo, hi in zip(cuts[:-1], cuts[1:]) if hi - lo >= probes.need[k]]
+    out = []
+    for lo in range(0, len(near), 1000):
+        some = near[lo : lo + 1000]
+        windows = [texts[d][a:b] for d, _, a, b in some]
+        for (d, k, a, _), window, (runs, enough) in zip(some, windows, equal_runs([probes.passages[k] for _, k, _, _ in some], windows)):
+            if enough:
+                held, first, end = held_words(probes.passages[k], window, runs)
+                if held >= LEAST * len(probes.passages[k]):
+                    out.append((d, k, held, a + first, a + end))
     return out
 
 
-def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """``doc_id, eval_id, share`` of every document that holds at least half of a passage."""
-    probes = Probes([(r[0], r[1]) for r in eval_items.select("eval_id", "passage").filter("eval_id is not null and passage is not null").limit(100_000).collect()])
+def _scan(documents: DataFrame, eval_items: DataFrame, rows_of, schema: str) -> DataFrame:  # noqa: ANN001
+    """``rows_of(probes, text, leaks of the text)`` for every document with a leak, after its ``doc_id``."""
+    items = fixed_rows(eval_items.select("eval_id", "passage").filter("eval_id is not null and passage is not null"), 1_000_000, "evaluation items")
+    probes = Probes([(r[0], r[1]) for r in items])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[list[int]] = []
         texts: list[np.ndarray] = []
-        seen: dict[bytes, int] = {}
+        raw: list[str] = []
+        seen: dict[str, int] = {}
         size = 0
+        columns = ["doc_id", *(c.split()[0] for c in schema.split(","))]
 
         def result() -> pd.DataFrame:
-            found = [(doc, probes.ids[k], held / len(probes.passages[k])) for d, k, held in leaks_in_shard(probes, texts) for doc in ids[d]]
-            return pd.DataFrame(found, columns=["doc_id", "eval_id", "share"])
+            of_text: dict[int, list[tuple]] = {}
+            for d, *leak in leaks_in_shard(probes, texts):
+                of_text.setdefault(d, []).append(tuple(leak))
+            found = [(doc, *row) for d, leaks in of_text.items() for row in rows_of(probes, raw[d], leaks) for doc in ids[d]]
+            return pd.DataFrame(found, columns=columns)
 
         for pdf in batches:
             for doc, text in zip(pdf["doc_id"].array, pdf["text"].array):
-                t = probes.symbols(text)
-                key = t.tobytes()
-                if key in seen:
-                    ids[seen[key]].append(doc)
+                if text in seen:
+                    ids[seen[text]].append(doc)
                     continue
-                seen[key] = len(texts)
-                texts.append(t)
+                seen[text] = len(texts)
+                texts.append(probes.symbols(text))
+                raw.append(text)
                 ids.append([doc])
-                size += len(t) + 1
+                size += len(texts[-1]) + 1
                 if size >= SHARD:
                     yield result()
-                    ids, texts, seen, size = [], [], {}, 0
+                    ids, texts, raw, seen, size = [], [], [], {}, 0
         if texts:
             yield result()
 
     rows = documents.filter("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return spread(rows).mapInPandas(scan, "doc_id bigint, eval_id bigint, share double")
+    return spread(rows).mapInPandas(scan, f"doc_id bigint, {schema}")
+
+
+def _shares(probes: Probes, text: str, leaks: list[tuple]) -> list[tuple]:
+    best: dict[int, int] = {}
+    for k, held, _, _ in leaks:
+        best[k] = max(best.get(k, 0), held)
+    return [(probes.ids[k], held / len(probes.passages[k])) for k, held in best.items()]
+
+
+def _spans(probes: Probes, text: str, leaks: list[tuple]) -> list[tuple]:
+    places = probes.word_places(text)
+    merged: list[list] = []
+    for begin, end, k in sorted((int(places[a, 0]), int(places[b - 1, 1]), k) for k, _, a, b in leaks):
+        if merged and begin <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+            merged[-1][2].add(probes.ids[k])
+        else:
+            merged.append([begin, end, {probes.ids[k]}])
+    return [(begin, end, sorted(found)) for begin, end, found in merged]
+
+
+def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """``doc_id, eval_id, share`` of every document that holds at least half of a passage."""
+    return _scan(documents, eval_items, _shares, "eval_id bigint, share double")
+
+
+def removal_spans(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
+    """``doc_id, begin, end, eval_ids``: the stretches of text to remove, in characters from 0 (``end`` excluded), overlapping ones merged."""
+    return _scan(documents, eval_items, _spans, "begin bigint, end bigint, eval_ids array<bigint>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.leaks import find_leaks
+from gleaner.llm.leaks import find_leaks, removal_spans
 from gleaner.tables import table
 
 
@@ -23,5 +23,10 @@ def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("eval_id", "suite").join(per_item, "eval_id", "left").select("eval_id", "suite", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaked_items": p7_leaked_items}
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of every document to remove, in characters, overlapping ones merged, with the items found in each."""
+    return removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_leaked_items": p7_leaked_items}
 SQL: dict[str, str] = {}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import history, language, leaks, neardup, packing, residue, subjects
+from gleaner.llm import history, language, leaks, neardup, packing, queries_p6, residue, subjects
 from gleaner.llm.shingles import shingle_hashes
 
 DATA = Path("/root/testdata/sf0.001")
@@ -213,7 +213,7 @@ def test_one_misspelling(x, y, same):
     assert history.one_misspelling(x, y) is same
 
 
-def test_batches_match_a_scan(spark):
+def test_batches_match_a_scan(spark, tmp_path):
     rng = random.Random(2)
     titles = [sentence(rng, 7)[:-1] for _ in range(40)]
     rows = []
@@ -241,14 +241,32 @@ def test_batches_match_a_scan(spark):
     got = history.repeated_items(df, sources)
     assert {r["key_b"]: r["key_a"] for r in got.collect()} == want
     # batch by batch over a stored table: the same rows are found
-    table, found = None, {}
-    empty = history.pivot_table(history.item_identities(df.limit(0), []))
+    found, path = {}, str(tmp_path / "history")
+    history.write_table(history.batch_rows(df.limit(0), sources), path, "overwrite")
+    stored = spark.read.schema(history.batch_rows(df, sources).withColumn("range", F.lit(0)).schema)
     for batch in range(1, 8):
-        repeats, new = history.check_batch(df.filter(F.col("batch_id") == batch), table if table is not None else empty, [])
+        repeats, new = history.check_batch(history.batch_rows(df.filter(F.col("batch_id") == batch), sources), stored.parquet(path))
         found |= {r["key_b"]: r["key_a"] for r in repeats.collect()}
-        new = spark.createDataFrame(new.collect(), new.schema)
-        table = new if table is None else table.unionByName(new)
+        history.write_table(new, path)
     assert found == {b: a for b, a in want.items() if rows[b][1] < 8}
+    assert len({p.name for p in (tmp_path / "history").glob("range=*")}) > 3
+    last = max(r[1] for r in rows)
+    assert {r["key_b"]: r["key_a"] for r in history.last_batch(df, sources, str(tmp_path / "other")).collect()} == {b: a for b, a in want.items() if rows[b][1] == last}
+
+
+def test_pivot_keys_lose_no_misspelling():
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzäéñыя漢字のあ"
+    for _ in range(600):
+        x = "".join(rng.choice(letters + "0123456789") for _ in range(rng.randrange(2, 40)))
+        k = rng.randrange(len(x))
+        y = rng.choice([x[:k] + rng.choice(letters) + x[k:], x[:k] + rng.choice(letters) + x[k + 1 :], x[:k] + x[k + 1 :], x[:k] + x[k : k + 2][::-1] + x[k + 2 :]])
+        if history.one_misspelling(x, y):
+            distances, sums, keys = history.pivot_distances([x, y])
+            assert (keys[0] == keys[1]).any()
+            assert abs(distances[0] - distances[1]).sum() <= 2 and (abs(sums[0] - sums[1]) <= 1).all() and abs(int(distances[0].sum()) - int(distances[1].sum())) <= 1
+    _, _, keys = history.pivot_distances(["part 1 of it", "part 2 of it", ""])
+    assert not (keys[0] == keys[1]).any()  # another figure is another title
 
 
 def test_batches_of_nothing(spark):
@@ -345,6 +363,47 @@ def test_leaks(spark):
     got = sorted((r["doc_id"], r["eval_id"]) for r in leaks.find_leaks(df, evals).collect())
     assert got == sorted([(1, 0), (2, 1), (4, 3), (5, 4), (6, 5), (10, 6)] + [(100 + k, 0) for k in range(40)])
     assert leaks.find_leaks(df.limit(0), evals).count() == 0 and leaks.find_leaks(df, evals.limit(0)).count() == 0
+    spans = {r["doc_id"]: r for r in leaks.removal_spans(df, evals).collect()}
+    assert set(spans) == {d for d, _ in got}
+    for d, k in got:
+        taken = (docs.get(d) or docs[1])[spans[d]["begin"] : spans[d]["end"]]
+        assert spans[d]["eval_ids"] == [k]
+        want = leaks.words(passages[k][1])
+        assert leaks.held_words(*map(np.array, ([hash(w) for w in want], [hash(w) for w in leaks.words(taken)])))[0] >= len(want) / 2
+        assert len(leaks.words(taken)) <= 1.2 * len(want) + (60 if d == 4 else 0)  # no more is removed than the stretch
+
+
+def test_spans_of_overlapping_leaks_are_merged(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(sentence(rng, 12) for _ in range(3)) for _ in range(3))
+    text = f"Before it. {a} {b} In between there are other words. " + " ".join(sentence(rng) for _ in range(60)) + f" {c} {c[: len(c) // 3]}"
+    both = f"{a} {b}"  # an item that covers two others
+    evals = spark.createDataFrame([(1, a), (2, b), (3, both), (4, c)], "eval_id long, passage string")
+    rows = sorted(leaks.removal_spans(spark.createDataFrame([(7, text)], "doc_id long, text string"), evals).collect())
+    assert [r["eval_ids"] for r in rows] == [[1, 2, 3], [4]]
+    assert text[rows[0]["begin"] : rows[0]["end"]].strip() == both and text[rows[1]["begin"] : rows[1]["end"]].startswith(c)
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 8, 10, 11, 13, 20])
+def test_half_of_a_short_passage_is_found(spark, n):
+    """An unbroken half of a passage of any length is found, also where its triples occur in many other passages."""
+    rng = random.Random(n)
+    ws = [f"{rng.choice(WORDS)}{i}x" for i in range(n)]
+    ws = ["".join(c if not c.isdigit() else chr(97 + int(c)) for c in w) for w in ws]
+    half = -(-n // 2)
+    docs = [(i, f"other things {' '.join(ws[i : i + half])} follow here") for i in range(n - half + 1)] + [(100, " ".join(ws[: half - 1]))]
+    copies = [(k, " ".join([*ws, f"tail{'abcdefghij'[k]}"])) for k in range(2, 7)]  # share all triples
+    evals = spark.createDataFrame([(1, " ".join(ws)), *copies], "eval_id long, passage string")
+    got = {r["doc_id"] for r in leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), evals).filter("eval_id = 1").collect()}
+    assert got == set(range(n - half + 1))
+
+
+def test_words_have_their_places():
+    probes = leaks.Probes([(1, "one two three four")])
+    text = "One <b class='x'>two</b>&nbsp;three, f\u00adour\n\n&amp; five-six"
+    places = probes.word_places(text)
+    assert len(places) == len(leaks.words(text)) == len(probes.symbols(text)) == 6
+    assert [text[a:b] for a, b in places][0] == "One" and text[places[4][0] : places[4][1]] == "five-six"
 
 
 # --- packing -----------------------------------------------------------------------------------------------------------
@@ -362,7 +421,9 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> int:
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_packing_keeps_every_document_whole(spark, seed):
+def test_packing_keeps_every_document_whole(spark, seed, monkeypatch):
+    if seed:
+        monkeypatch.setattr(packing, "CHUNK", 20)  # hot lengths are salted
     rng = random.Random(seed)
     tokens = [(i, max(1, int(rng.lognormvariate(5.3, 1.0)))) for i in range(700)] + [(1000 + i, 300) for i in range(350)] + [(5000, 512), (5001, 40_000), (5002, 0), (5003, 1024)]
     packs = [(1, 512), (2, 1024), (3, None), (4, 7)]
@@ -394,18 +455,18 @@ def test_plan_depends_on_lengths_only():
         assert plan.containers * 512 >= sum(s * times for s in counts) and all(plan.used[s] == times for s in counts)
 
 
-@pytest.mark.skipif(not Path(packing.VOCABULARY).exists(), reason="no vocabulary here")
+@pytest.mark.skipif(not Path(queries_p6.VOCABULARY).exists(), reason="no vocabulary here")
 def test_token_counts_round_trip(spark):
     import base64
 
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(packing.VOCABULARY, "rb"))}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries_p6.VOCABULARY, "rb"))}
     e = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["Hello world", "  spaces  and\nlines ", "日本語 и русский", "<|endoftext|>", "x" * 5000]
     assert all(e.decode(e.encode_ordinary(t)) == t for t in texts)
     df = spark.createDataFrame([*enumerate(texts), (90, None), (91, "")], "doc_id long, text string")
-    assert {r["doc_id"]: r["tokens"] for r in packing.token_counts(df).collect()} == {i: len(e.encode_ordinary(t)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["tokens"] for r in packing.token_counts(df, queries_p6.VOCABULARY).collect()} == {i: len(e.encode_ordinary(t)) for i, t in enumerate(texts)}
 
 
 # --- subjects ----------------------------------------------------------------------------------------------------------
