@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no topic in a title.
-STOPWORDS = (
-    "a an and are as at be by for from how in into is it its of on or that the this to via vs was were what when why will with you your new using use"
-).split()
+from gleaner.functions.fixed import ENTITY_PATTERNS, GENERIC_WORDS, STOPWORDS
+
+
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -47,8 +46,8 @@ def words(c: Column) -> Column:
 
 
 def significant_words(c: Column) -> Column:
-    """The distinct words of four letters or more, and numbers of three digits or more ('122b' counts as '122')."""
-    cut = F.transform(words(c), lambda w: F.regexp_replace(w, "^([0-9]+)b$", "$1"))
+    """The distinct words of four letters or more, and numbers of three digits or more ('122b', '122m' and '122k' count as '122')."""
+    cut = F.transform(words(c), lambda w: F.regexp_replace(w, "^([0-9]+)[bmk]$", "$1"))
     return F.array_sort(F.array_distinct(F.filter(cut, lambda w: (F.length(w) >= 4) | ((F.length(w) >= 3) & w.rlike("^[0-9]+$")))))
 
 
@@ -62,6 +61,30 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
+def telling_words(c: Column) -> Column:
+    """The significant words but for those too common to link two titles."""
+    generic = F.array(*[F.lit(w) for w in GENERIC_WORDS])
+    return F.array_except(significant_words(c), generic)
+
+
+def overlap_boost(shared: Column) -> Column:
+    """A match level from the telling words that two titles share: 0.84 for three or more, 0.78 for two and 0.4 for one with a digit among them."""
+    digits = F.exists(shared, lambda w: w.rlike("[0-9]"))
+    return F.when(F.size(shared) >= 3, 0.84).when((F.size(shared) == 2) & digits, 0.78).when((F.size(shared) == 1) & digits, 0.4).otherwise(0.0)
+
+
+def entities(c: Column) -> Column:
+    """The organisations and products a text names, in lower case, as a sorted set."""
+    t = F.coalesce(c, F.lit(""))
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(f"(?i){p}"), F.lit(0)) for p in ENTITY_PATTERNS])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(F.lower(x)))))
+
+
+def any_of(c: Column, patterns: list[str]) -> Column:
+    """Does one of the patterns occur, whatever the case?"""
+    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+
+
 def pattern_hits(c: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur."""
     return sum((c.rlike(p).cast("int") for p in patterns[1:]), c.rlike(patterns[0]).cast("int"))

@@ -13,6 +13,12 @@ def _part(c: Column, i: int) -> Column:
     return F.regexp_extract(F.trim(c), r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$", i)
 
 
+def address(canonical: str | Column = "canonical_url", url: str | Column = "url") -> Column:
+    """An item's address: the canonical one, else the plain one; blank ones are none."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(blank(canonical), blank(url))
+
+
 def host(c: Column) -> Column:
     """The authority in lower case; the empty string where there is none."""
     return F.lower(_part(c, 2))
@@ -21,7 +27,7 @@ def host(c: Column) -> Column:
 def without_tracking(c: Column) -> Column:
     """Scheme and host in lower case, double slashes, fragment, trailing slash and tracking parameters removed."""
     path = F.regexp_replace(F.regexp_replace(_part(c, 3), "/+", "/"), "/$", "")
-    kept = F.filter(F.split(F.substring(_part(c, 4), 2, 100_000), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKED_PREFIXES))
+    kept = F.filter(F.split(F.regexp_replace(_part(c, 4), r"^\?", ""), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKED_PREFIXES))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when(_part(c, 2) == "", F.trim(c)).otherwise(F.concat(F.lower(_part(c, 1)), F.lit("://"), F.lower(_part(c, 2)), path, query))
 

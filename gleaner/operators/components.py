@@ -1,7 +1,7 @@
 """Connected components of an edge table, as class labels (the smallest vertex of the component).
 
 Labels spread by alternating two steps on the edge table itself, large-star and small-star (Kiveris et al., Connected
-Components in MapReduce and Beyond, 2014), until nothing changes. The number of rounds grows with the logarithm of the
+Components in MapReduce and Beyond, 2014), until nothing changes, however many rounds that takes. The number of rounds grows with the logarithm of the
 longest path, a vertex never gathers its neighbours into one task (only minima are aggregated), and lineage is cut with
 a reliable checkpoint after each round.
 
@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from gleaner.tables import cut_lineage
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``vertex, component`` for every vertex of ``edges``; the component is its smallest vertex."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     vertices = both.select(F.col("u").alias("vertex")).union(both.select("v")).distinct()
     links = cut_lineage(both.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     known = None
-    for _ in range(max_rounds):
+    while True:
         # large-star: every larger neighbour of a vertex is linked to the smallest vertex of its neighbourhood
         sym = links.union(links.select("v", "u").toDF("u", "v"))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import text
+from gleaner.functions.fixed import CLICKBAIT, CLONE_REPOSITORIES, ENGINEERING_TALK, EVENT_HINTS, EVENT_PATTERNS, FRONTIER_NEWS, LOW_ITEM, OPINION_TALK, PROMOTION, TALK_BASE, TALK_EXEMPT
 from gleaner.functions.num import clamp
-from gleaner.functions.text import pattern_hits
 
 # Weight of a source's role in scores.
 ROLE_WEIGHTS = {
@@ -25,20 +26,6 @@ EVENT_WEIGHTS = {
     "other": 0.8, "tutorial": 0.5, "opinion": 0.3, "recap": 0.2,
 }
 
-#: Patterns of event types, tried on the lower-cased title and summary; the first of equal scores wins.
-EVENT_PATTERNS = {
-    "product_release": [r"\barrives?\b", r"\bunveils?\b", r"\blaunch", r"\brelease", r"\bintroduc"],
-    "funding": [r"\bfunding\b", r"\braised\b", r"\binvestors?\b", r"\bseed\b"],
-    "acquisition": [r"\bmerger", r"\bacqui", r"\bbuyback", r"\btakeover"],
-    "research_paper": [r"\bpaper\b", r"\bproofs?\b", r"\bexperiment", r"\bevaluation\b", r"\bhypothes"],
-    "tooling": [r"\btoolkit\b", r"\brefactor", r"\bdebugger", r"\bbuild pipelines?\b"],
-    "industry_move": [r"\bpolicy\b", r"\bcourt\b", r"\bregulator", r"\bpartner"],
-    "tutorial": [r"\bhow to\b", r"\bguide\b", r"\blessons\b", r"\bfirst look\b"],
-    "opinion": [r"\bcritics\b", r"\bopinion\b", r"\bwhy\b", r"\bdoubts\b"],
-    "recap": [r"\brecap\b", r"\bdigest\b", r"\bweekly\b", r"\broundup\b"],
-}
-
-
 def lookup(values: dict[str, float], key: Column, default: float) -> Column:
     table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return F.coalesce(F.try_element_at(table, key), F.lit(default))
@@ -55,16 +42,20 @@ def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
-def event_type(text: Column, hint: Column | None = None, least: float = 0.3) -> Column:
-    """The type with the largest share of its patterns, plus half a point for the hinted one; 'other' below ``least``."""
+def event_type(body: Column, role: Column, paper: Column, least: float = 0.3) -> Column:
+    """The type with the largest share of its patterns, half a point for the one the role suggests and one for papers; below ``least`` the suggestion, else 'other'.
+
+    Of equal scores the type that stands first in the list wins.
+    """
+    hint = F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_HINTS.items() for x in kv]), role)
     scores = []
     for i, (name, patterns) in enumerate(EVENT_PATTERNS.items()):
-        score = pattern_hits(text, patterns) / F.lit(max(0.4 * len(patterns), 1.0))
-        if hint is not None:
-            score = score + F.when(hint == name, 0.5).otherwise(0.0)
+        score = text.pattern_hits(body, [f"(?i){p}" for p in patterns]) / F.lit(max(0.4 * len(patterns), 1.0)) + F.when(hint == name, 0.5).otherwise(0.0)
+        if name == "research_paper":
+            score = score + F.when(paper, 1.0).otherwise(0.0)
         scores.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scores))
-    return F.when(best["score"] < least, F.coalesce(hint, F.lit("other")) if hint is not None else F.lit("other")).otherwise(best["name"])
+    return F.when(best["score"] >= least, best["name"]).otherwise(F.coalesce(hint, F.lit("other")))
 
 
 def importance(role: Column, official: Column, repository: Column, upvotes: Column, points: Column) -> Column:
@@ -82,20 +73,26 @@ def source_family(role: Column, kind: Column) -> Column:
     )
 
 
-def low_quality(title: Column, patterns: list[str], least: int = 10) -> Column:
-    """Is a display title too short, missing or of a shape that tells nothing?"""
-    t = F.trim(F.coalesce(title, F.lit("")))
-    return (F.length(t) < least) | t.rlike("|".join(f"(?:{p})" for p in patterns))
+def low_quality(title: Column, patterns: list[str], least: int) -> Column:
+    """Is a title too short, missing or of a shape that tells nothing?"""
+    t = F.coalesce(title, F.lit(""))
+    return (F.length(t) < least) | text.any_of(t, patterns)
+
+
+def low_item(title: Column, url: Column) -> Column:
+    """Is an item not worth a place in a section: its title, or a repository that copies another?"""
+    t, u = F.trim(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    return low_quality(t, LOW_ITEM, 10) | (F.contains(u, F.lit("github.com")) & text.any_of(F.concat_ws(" ", t, u), CLONE_REPOSITORIES))
 
 
-def capped_pattern_score(text: Column, base: Column, plus: dict[float, list[str]], minus: dict[float, list[str]]) -> Column:
-    """A base score with so much for each pattern that occurs, kept within 0 and 1."""
-    score = base
-    for weight, patterns in plus.items():
-        score = score + weight * pattern_hits(text, patterns)
-    for weight, patterns in minus.items():
-        score = score - weight * pattern_hits(text, patterns)
-    return clamp(score, 0.0, 1.0)
+def talk_scores(title: Column, summary: Column, role: Column) -> tuple[Column, Column]:
+    """How far a text is talk about engineering, and how far it lacks substance, each from 0 to 1; exempt roles are never judged."""
+    low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
+    hits = lambda patterns: text.pattern_hits(low, [f"(?i){p}" for p in patterns])
+    talk = clamp(lookup(TALK_BASE, role, 0.20) + hits(ENGINEERING_TALK) * 0.15 - hits(FRONTIER_NEWS) * 0.20, 0.0, 1.0)
+    thin = clamp(hits(OPINION_TALK) * 0.25 + hits(CLICKBAIT) * 0.20 + hits(PROMOTION) * 0.30 - hits(FRONTIER_NEWS) * 0.15, 0.0, 1.0)
+    exempt = F.coalesce(role.isin(*TALK_EXEMPT), F.lit(False))
+    return F.when(exempt, 0.0).otherwise(talk), F.when(exempt, 0.0).otherwise(thin)
 
 
 def not_in_history(new: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.tables import fixed_rows
+
 
 def keyword_topics(rows: DataFrame, key: str, fields: dict[str, int], topics: DataFrame, topic: str, keywords: str, default: str, least: int = 1) -> DataFrame:
     """``key, topic, score``: the topic with most keyword points (a field's weight per keyword it holds), ties by topic order.
 
     ``topics`` is a small dimension; it is turned into one expression, so rows are scored where they lie.
     """
-    dims = [(r[0], list(r[1])) for r in topics.select(topic, keywords).orderBy(topic).limit(1000).collect()]
+    dims = [(r[0], list(r[1])) for r in sorted(fixed_rows(topics.select(topic, keywords), 1000, "topics"))]
     scores = []
     for i, (name, words) in enumerate(dims):
         points: Column = F.lit(0)
@@ -55,9 +57,10 @@ def digest_caps(rows: DataFrame, topic: str, order: list[Column], per_topic: int
 def content_hash(rows: DataFrame, group: str, order: str, fields: list[str]) -> DataFrame:
     """``group, n, hash``: a hash of a group's rows that any change alters and no reordering does.
 
-    Rows are hashed one by one and the digests combined in key order, so no group's text is gathered in one place.
+    Rows are hashed one by one, their keys included, and the digests added up in four parts of 60 bits: sums combine map-side
+    and do not depend on order, so no group is gathered in one place.
     """
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields]), 256)
-    return rows.select(group, F.col(order).alias("_o"), row.alias("_h")).groupBy(group).agg(
-        F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"]), ""), 256).alias("hash")
-    )
+    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in (order, *fields)]), 256)
+    part = lambda i: F.sum(F.conv(F.substring("_h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)"))
+    sums = F.concat_ws("-", *[part(i).cast("decimal(38,0)").cast("string") for i in range(4)])
+    return rows.select(group, row.alias("_h")).groupBy(group).agg(F.count("*").alias("n"), F.sha2(sums, 256).alias("hash"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import text, url
+from gleaner.functions import fixed, text, url
 from gleaner.functions.num import half_up
 from gleaner.operators import items as op
 from gleaner.queries.items import _items
@@ -47,8 +47,8 @@ def q_json_listing(spark: SparkSession, d: str) -> DataFrame:
 
 def q_union_sources(spark: SparkSession, d: str) -> DataFrame:
     """SRC-18, SET-02: items, papers and hits as one relation, deduplicated by address, counted by origin."""
-    a = _items(spark, d).select(F.lit("items").alias("origin"), "item_id", F.coalesce("canonical_url", "url").alias("addr"))
-    b = table(spark, d, "hn_hits").select(F.lit("hits").alias("origin"), F.col("item_id"), F.col("url").alias("addr"))
+    a = _items(spark, d).select(F.lit("items").alias("origin"), "item_id", url.address().alias("addr"))
+    b = table(spark, d, "hn_hits").select(F.lit("hits").alias("origin"), F.col("item_id"), F.nullif(F.trim("url"), F.lit("")).alias("addr"))
     both = a.unionByName(b).filter("addr is not null")
     one = both.groupBy("addr").agg(F.min(F.when(F.col("origin") == "items", 0).otherwise(1)).alias("o"))
     return one.groupBy(F.when(F.col("o") == 0, "items").otherwise("hits").alias("origin")).agg(F.count("*").alias("n"))
@@ -115,7 +115,7 @@ def q_regression_guard(spark: SparkSession, d: str) -> DataFrame:
     """PRED-27/28: would a new snapshot lose too much? Sources of the last batches against those of all."""
     a = _items(spark, d).agg(F.countDistinct("source_id").alias("old_n"))
     b = _items(spark, d).filter("batch_id > 178").agg(F.countDistinct("source_id").alias("new_n"))
-    return a.join(b).select("old_n", "new_n", (F.col("new_n") < 0.5 * F.col("old_n")).alias("guarded"))
+    return a.crossJoin(F.broadcast(b)).select("old_n", "new_n", (F.col("new_n") < 0.5 * F.col("old_n")).alias("guarded"))
 
 
 def q_closed_months(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _SP = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + "]"
 
 
 def _clean(c: str) -> str:
@@ -234,7 +234,7 @@ SQL = {
     "q_payload_shapes": "SELECT paper_id, coalesce(score, 0) AS score FROM papers",
     "q_json_listing": "SELECT item_id, metadata.stars AS stars FROM hotspot_items WHERE NOT regexp_matches(lower(coalesce(title, '')), 'awesome|tutorial|list of') AND length(coalesce(title, '')) >= 15 AND coalesce(metadata.stars, 0) >= 100",
     "q_union_sources": """
-        WITH u AS (SELECT coalesce(canonical_url, url) AS addr, 0 AS o FROM hotspot_items UNION ALL SELECT url, 1 FROM hn_hits), m AS (SELECT addr, min(o) AS o FROM u WHERE addr IS NOT NULL GROUP BY 1)
+        WITH u AS (SELECT coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')) AS addr, 0 AS o FROM hotspot_items UNION ALL SELECT nullif(trim(url), ''), 1 FROM hn_hits), m AS (SELECT addr, min(o) AS o FROM u WHERE addr IS NOT NULL GROUP BY 1)
         SELECT CASE WHEN o = 0 THEN 'items' ELSE 'hits' END AS origin, count(*) AS n FROM m GROUP BY 1""",
     "q_raw_roundtrip": "SELECT item_id, md5(coalesce(title, '')) AS h, coalesce(len(tags), -1)::INT AS tags, metadata.stars AS stars FROM hotspot_items",
     "q_number_coercion": "SELECT p_partkey, floor(round(p_retailprice, 3) * 1000 + 0.5)::BIGINT AS per_mille FROM part WHERE p_partkey % 5 <> 0",

@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import text
+from gleaner.functions import fixed, text, url
 from gleaner.functions.num import clamp, half_up
 from gleaner.operators import items as op
 from gleaner.tables import table
 
-NOISE_TITLES = [r"^\s*$", r"^[0-9. ]+$", r"^[a-z]+/[a-z]+$", r"^(null|undefined|untitled)", r"\([0-9]+\)\s*$", r"^[A-Z]{4,}[ A-Z]*$"]
-ENGINEERING = [r"\brefactor", r"\bbuild", r"\bdebug", r"\bcompil", r"\bkernel"]
-FRONTIER = [r"\bmodel", r"\bagent", r"\bevaluation", r"\btraining"]
-
-
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hotspot_items")
 
@@ -45,15 +40,16 @@ def q_on_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_quality_filter(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-13/14/15: titles not worth showing."""
-    return _items(spark, d).filter(op.low_quality(F.col("title"), NOISE_TITLES)).select("item_id")
+    """PRED-13/14/15: titles not worth showing, headlines not worth a story, items not worth a place."""
+    t = F.coalesce("title", F.lit(""))
+    flags = {"display": op.low_quality(t, fixed.LOW_DISPLAY, 8), "headline": op.low_quality(F.trim(t), fixed.LOW_HEADLINE, 10), "item": op.low_item(F.col("title"), F.col("url"))}
+    return _items(spark, d).select("item_id", *[c.alias(n) for n, c in flags.items()]).filter("display or headline or item")
 
 
 def q_engineering_score(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-16/17: capped pattern scores with a base by role."""
-    base = F.when(F.col("source_role") == "official_news", 0.0).when(F.col("source_role") == "github_trend", 0.35).otherwise(0.2)
-    score = op.capped_pattern_score(_body(), base, {0.15: ENGINEERING}, {0.2: FRONTIER})
-    return _items(spark, d).select("item_id", half_up(score, 3).alias("score"))
+    """PRED-16/17: talk about engineering and lack of substance, by role."""
+    talk, thin = op.talk_scores(F.col("title"), F.col("summary"), F.col("source_role"))
+    return _items(spark, d).select("item_id", half_up(talk, 3).alias("talk"), half_up(thin, 3).alias("thin"))
 
 
 def q_source_family(spark: SparkSession, d: str) -> DataFrame:
@@ -62,9 +58,10 @@ def q_source_family(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_event_type(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-35: the event type by pattern shares, with a hint for papers."""
-    hint = F.when(F.col("source_type") == "paper", "research_paper").when(F.col("source_type") == "repository", "tooling")
-    return _items(spark, d).select("item_id", op.event_type(_body(), F.coalesce(hint, F.lit("other"))).alias("event_type"))
+    """PRED-35: the event type by pattern shares, the role's hint and the bonus of papers."""
+    body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    paper = F.coalesce(F.col("source_type") == "paper", F.lit(False)) | (F.trim(F.coalesce("metadata.arxiv_id", F.lit(""))) != "")
+    return _items(spark, d).select("item_id", op.event_type(body, F.col("source_role"), paper).alias("event_type"))
 
 
 def q_importance(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +72,7 @@ def q_importance(spark: SparkSession, d: str) -> DataFrame:
 
 def q_dedupe_longest(spark: SparkSession, d: str) -> DataFrame:
     """WIN-06, SET-02: of one source's copies of a story the one with the longest summary."""
-    rows = _items(spark, d).withColumns({"addr": F.coalesce("canonical_url", "url", F.lit("")), "low": F.lower(text.clean_text("title")), "len": F.length(F.coalesce("summary", F.lit("")))})
+    rows = _items(spark, d).withColumns({"addr": F.coalesce(url.address(), F.lit("")), "low": F.lower(text.clean_text("title")), "len": F.length(F.coalesce("summary", F.lit("")))})
     return op.keep_best(rows, ["source_id", "addr", "low"], [F.desc("len"), F.asc("item_id")]).select("item_id", "source_id", "len")
 
 
@@ -95,12 +92,12 @@ def q_raw_limit_then_gate(spark: SparkSession, d: str) -> DataFrame:
     """LIM-01: per batch a limit in arrival order, before the gates."""
     place = F.row_number().over(Window.partitionBy("batch_id").orderBy("item_id"))
     head = _items(spark, d).select("item_id", "source_id", "title", place.alias("place")).filter("place <= 240")
-    return head.filter(~op.low_quality(F.col("title"), NOISE_TITLES)).select("item_id", "source_id")
+    return head.filter(~op.low_quality(F.col("title"), fixed.LOW_DISPLAY, 8)).select("item_id", "source_id")
 
 
 def q_crossday_antijoin(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-04: items of every batch whose address and title were not seen in the 30 batches before it."""
-    rows = _items(spark, d).select("item_id", "batch_id", "title", F.coalesce("canonical_url", "url").alias("addr"))
+    rows = _items(spark, d).select("item_id", "batch_id", "title", url.address().alias("addr"))
     return op.not_seen_before(rows, "batch_id", ["addr", "title"], 30).filter("addr is not null").select("item_id")
 
 
@@ -244,15 +241,22 @@ QUERIES = {f.__name__: f for f in (
 _BODY = "lower(concat_ws(' ', title, summary))"
 
 
+def _re(patterns: list[str]) -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
+
+
 def _hits(patterns: list[str], subject: str = "b") -> str:
-    return " + ".join(f"regexp_matches({subject}, '{p}')::INT" for p in patterns)
+    return "(" + " + ".join(f"regexp_matches({subject}, '{_re([p])}')::INT" for p in patterns) + ")"
 
 
-_NOISE = "|".join(f"(?:{p})" for p in NOISE_TITLES)
-_LOWQ = f"(length(trim(coalesce(title, ''))) < 10 OR regexp_matches(trim(coalesce(title, '')), '{_NOISE}'))"
+_LOWQ = f"(length(coalesce(title, '')) < 8 OR regexp_matches(coalesce(title, ''), '{_re(fixed.LOW_DISPLAY)}'))"
+_HINT = "CASE source_role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.EVENT_HINTS.items()) + " END"
 _SCORES = ", ".join(
-    f"{{'score': ({_hits(p)}) / {max(0.4 * len(p), 1.0)} + CASE WHEN hint = '{name}' THEN 0.5 ELSE 0.0 END, 'ord': {-i}, 'name': '{name}'}}" for i, (name, p) in enumerate(op.EVENT_PATTERNS.items())
+    f"{{'score': {_hits(p)} / {max(0.4 * len(p), 1.0)}::DOUBLE + CASE WHEN hint = '{name}' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END{' + CASE WHEN paper THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END' if name == 'research_paper' else ''}, 'ord': {-i}, 'name': '{name}'}}"
+    for i, (name, p) in enumerate(fixed.EVENT_PATTERNS.items())
 )
+_TALK = "CASE source_role " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.TALK_BASE.items()) + " ELSE 0.2 END::DOUBLE"
+_EXEMPT = "coalesce(source_role IN (" + ", ".join(f"'{r}'" for r in fixed.TALK_EXEMPT) + "), false)"
 _ROLE = "CASE source_role " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in op.ROLE_WEIGHTS.items()) + f" ELSE {op.DEFAULT_ROLE_WEIGHT} END"
 _TITLE = r"trim(regexp_replace(coalesce(title, ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"
 SQL = {
@@ -263,31 +267,37 @@ SQL = {
         SELECT item_id, batch_id FROM hotspot_items JOIN batches USING (batch_id)
         WHERE NOT coalesce(fetched_at BETWEEN batch_date::TIMESTAMP - INTERVAL 14 DAY AND batch_date::TIMESTAMP + INTERVAL 18 HOUR, true)""",
     "q_on_date": "SELECT fetched_at::DATE AS day, count(*) AS n, count(*) FILTER (hour(fetched_at) BETWEEN 6 AND 18) AS daytime FROM hotspot_items WHERE fetched_at >= TIMESTAMP '2026-01-01' GROUP BY 1",
-    "q_quality_filter": f"SELECT item_id FROM hotspot_items WHERE {_LOWQ}",
+    "q_quality_filter": f"""
+        WITH t AS (SELECT item_id, coalesce(title, '') AS t, lower(coalesce(url, '')) AS u FROM hotspot_items),
+        f AS (SELECT item_id, length(t) < 8 OR regexp_matches(t, '{_re(fixed.LOW_DISPLAY)}') AS display, length(trim(t)) < 10 OR regexp_matches(trim(t), '{_re(fixed.LOW_HEADLINE)}') AS headline,
+          length(trim(t)) < 10 OR regexp_matches(trim(t), '{_re(fixed.LOW_ITEM)}') OR (contains(u, 'github.com') AND regexp_matches(trim(t) || ' ' || u, '{_re(fixed.CLONE_REPOSITORIES)}')) AS item FROM t)
+        SELECT * FROM f WHERE display OR headline OR item""",
     "q_engineering_score": f"""
-        WITH t AS (SELECT item_id, {_BODY} AS b, CASE source_role WHEN 'official_news' THEN 0.0::DOUBLE WHEN 'github_trend' THEN 0.35::DOUBLE ELSE 0.2::DOUBLE END AS base FROM hotspot_items)
-        SELECT item_id, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, base + 0.15::DOUBLE * ({_hits(ENGINEERING)}) - 0.2::DOUBLE * ({_hits(FRONTIER)}))) * 1000 + 0.5) / 1000 AS score FROM t""",
+        WITH t AS (SELECT item_id, source_role, lower(coalesce(title, '') || ' ' || coalesce(summary, '')) AS b FROM hotspot_items),
+        s AS (SELECT item_id, {_EXEMPT} AS out, greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_TALK} + {_hits(fixed.ENGINEERING_TALK)} * 0.15::DOUBLE - {_hits(fixed.FRONTIER_NEWS)} * 0.2::DOUBLE)) AS talk,
+          greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_hits(fixed.OPINION_TALK)} * 0.25::DOUBLE + {_hits(fixed.CLICKBAIT)} * 0.2::DOUBLE + {_hits(fixed.PROMOTION)} * 0.3::DOUBLE - {_hits(fixed.FRONTIER_NEWS)} * 0.15::DOUBLE)) AS thin FROM t)
+        SELECT item_id, CASE WHEN out THEN 0.0 ELSE floor(talk * 1000 + 0.5) / 1000 END AS talk, CASE WHEN out THEN 0.0 ELSE floor(thin * 1000 + 0.5) / 1000 END AS thin FROM s""",
     "q_source_family": """
         SELECT CASE WHEN source_role = 'official_news' THEN 'official' WHEN source_role = 'headline_consensus' THEN 'market-signals' WHEN source_role = 'editorial_depth' THEN 'analysis'
           WHEN source_role IN ('paper_trending', 'research_backbone') OR source_type = 'paper' THEN 'papers' WHEN source_role = 'github_trend' OR source_type = 'repository' THEN 'github' ELSE 'industry' END AS family,
           source_type, count(*) AS n FROM hotspot_items GROUP BY ALL""",
     "q_event_type": f"""
-        WITH t AS (SELECT item_id, {_BODY} AS b, CASE source_type WHEN 'paper' THEN 'research_paper' WHEN 'repository' THEN 'tooling' ELSE 'other' END AS hint FROM hotspot_items),
+        WITH t AS (SELECT item_id, coalesce(title, '') || ' ' || coalesce(summary, '') AS b, {_HINT} AS hint, coalesce(source_type = 'paper', false) OR trim(coalesce(metadata.arxiv_id, '')) <> '' AS paper FROM hotspot_items),
         s AS (SELECT item_id, hint, list_max([{_SCORES}]) AS best FROM t)
-        SELECT item_id, CASE WHEN best.score < 0.3 THEN hint ELSE best.name END AS event_type FROM s""",
+        SELECT item_id, CASE WHEN best.score >= 0.3 THEN best.name ELSE coalesce(hint, 'other') END AS event_type FROM s""",
     "q_importance": f"""
         WITH t AS (SELECT item_id, 1.2::DOUBLE * {_ROLE} + 1.5::DOUBLE * coalesce(metadata.is_official, false)::INT + 0.8::DOUBLE * (metadata.github_url IS NOT NULL)::INT + 0.5::DOUBLE * coalesce(metadata.upvotes > 50, false)::INT + 0.5::DOUBLE * coalesce(metadata.hn_score > 50, false)::INT AS raw FROM hotspot_items)
         SELECT item_id, greatest(1, least(10, round_even(raw, 0)))::INT AS importance FROM t""",
     "q_dedupe_longest": f"""
         SELECT item_id, source_id, length(coalesce(summary, ''))::INT AS len FROM hotspot_items
-        QUALIFY row_number() OVER (PARTITION BY source_id, coalesce(canonical_url, url, ''), lower({_TITLE}) ORDER BY length(coalesce(summary, '')) DESC, item_id) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY source_id, coalesce(coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')), ''), lower({_TITLE}) ORDER BY length(coalesce(summary, '')) DESC, item_id) = 1""",
     "q_dedupe_first": """
         SELECT count(*) AS n, sum(points)::BIGINT AS points FROM (SELECT * FROM hn_hits QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY coalesce(created_at, ''), points DESC NULLS LAST) = 1)""",
     "q_distinct_papers": "SELECT count(*) AS n FROM (SELECT DISTINCT arxiv_id, title, abstract, authors FROM papers)",
-    "q_raw_limit_then_gate": f"SELECT item_id, source_id FROM (SELECT * FROM hotspot_items ORDER BY item_id LIMIT 240) WHERE NOT {_LOWQ}",
+    "q_raw_limit_then_gate": f"SELECT item_id, source_id FROM (SELECT * FROM hotspot_items QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY item_id) <= 240) WHERE NOT {_LOWQ}",
     "q_crossday_antijoin": """
-        WITH r AS (SELECT item_id, batch_id, title, coalesce(canonical_url, url) AS addr FROM hotspot_items), o AS (SELECT * FROM r WHERE batch_id BETWEEN 121 AND 150)
-        SELECT item_id FROM r WHERE batch_id > 150 AND addr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM o WHERE o.addr = r.addr) AND NOT EXISTS (SELECT 1 FROM o WHERE o.title = r.title)""",
+        WITH r AS (SELECT item_id, batch_id, title, coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')) AS addr FROM hotspot_items)
+        SELECT item_id FROM r WHERE addr IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r o WHERE o.addr = r.addr AND o.batch_id BETWEEN r.batch_id - 30 AND r.batch_id - 1) AND NOT EXISTS (SELECT 1 FROM r o WHERE o.title = r.title AND o.batch_id BETWEEN r.batch_id - 30 AND r.batch_id - 1)""",
     "q_author_select": """
         WITH n AS (SELECT paper_id, unnest(authors) AS author FROM papers), p AS (SELECT author FROM n GROUP BY author HAVING count(*) >= 10)
         SELECT paper_id, paper_id IN (SELECT paper_id FROM n WHERE author IN (SELECT author FROM p)) AS selected FROM papers""",

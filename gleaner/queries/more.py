@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import text, url
+from gleaner.functions import fixed, text, url
 from gleaner.functions.num import half_up
 from gleaner.operators import items as op
 from gleaner.operators import stories as st
@@ -24,12 +24,10 @@ def q_url_title_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_overlap_boost(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-09/10: a match level from shared significant words and shared numbers."""
+    """TXT-09: a match level from the telling words that a member's title shares with its cluster's."""
     rows = table(spark, d, "hotspot_clusters").select("cluster_id", "title", F.explode("cluster_items").alias("m"))
-    shared = F.array_intersect(text.significant_words(F.col("title")), text.significant_words(F.col("m.title")))
-    digits = F.size(F.filter(shared, lambda x: x.rlike("[0-9]")))
-    level = F.when((F.size(shared) >= 3) & (digits >= 1), 0.84).when(F.size(shared) >= 3, 0.78).when(F.size(shared) >= 1, 0.4).otherwise(0.0)
-    return rows.select("cluster_id", F.col("m.item_id").alias("item_id"), level.alias("boost"))
+    shared = F.array_intersect(text.telling_words(F.col("title")), text.telling_words(F.col("m.title")))
+    return rows.select("cluster_id", F.col("m.item_id").alias("item_id"), text.overlap_boost(shared).alias("boost"))
 
 
 def q_activity_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +107,7 @@ def q_stale_feeds(spark: SparkSession, d: str) -> DataFrame:
     """SRC-17: sources whose newest item lies more than a week before the newest of all."""
     per = _items(spark, d).groupBy("source_id").agg(F.max("batch_id").alias("last"))
     top = per.agg(F.max("last").alias("top"))
-    return per.join(F.broadcast(top)).select("source_id", "last", (F.col("top") - F.col("last") > 7).alias("stale"))
+    return per.crossJoin(F.broadcast(top)).select("source_id", "last", (F.col("top") - F.col("last") > 7).alias("stale"))
 
 
 def q_story_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -149,12 +147,13 @@ def q_admission(spark: SparkSession, d: str) -> DataFrame:
 def q_account_priority(spark: SparkSession, d: str) -> DataFrame:
     """SORT-06/07: the 24 most active authors by papers, then name."""
     names = table(spark, d, "papers").select(F.explode("authors").alias("name")).groupBy("name").agg(F.count("*").alias("papers"))
-    w = Window.orderBy(F.desc("papers"), "name")
-    return names.orderBy(F.desc("papers"), "name").limit(24).withColumn("place", F.row_number().over(w))
+    # the list itself is the feature: its 24 rows are taken first, the numbering runs over them alone
+    top = names.orderBy(F.desc("papers"), "name").limit(24)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("papers"), "name")))
 
 
 def q_orphan_days(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-04, SRC-25: days that have a batch and no order, and the other way round, of 2025 on."""
+    """SRC-25: days that have a batch and no item, and the other way round."""
     a = table(spark, d, "batches").select(F.col("batch_date").alias("day"))
     b = _items(spark, d).select(F.to_date("fetched_at").alias("day")).distinct()
     return a.join(b, "day", "left_anti").withColumn("side", F.lit("batch")).unionByName(b.join(a, "day", "left_anti").withColumn("side", F.lit("items")))
@@ -173,6 +172,7 @@ QUERIES = {f.__name__: f for f in (
 _SP = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _CLEAN = "trim(regexp_replace(coalesce({}, ''), '" + _SP.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
 _T, _S = _CLEAN.format("title"), _CLEAN.format("summary")
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in fixed.GENERIC_WORDS) + "]"
 _ROLE_W = "CASE source_role " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in op.ROLE_WEIGHTS.items()) + f" ELSE {op.DEFAULT_ROLE_WEIGHT} END"
 _SENT = f"list_transform(regexp_split_to_array({_S}, '[.!?] '), lambda x: trim(x))"
 _FRESH = f"list_filter(s, lambda x: length(x) >= 20 AND (len({_words('x')}) = 0 OR len(t) = 0 OR len(list_intersect({_words('x')}, t))::DOUBLE / least(len({_words('x')}), len(t)) <= 0.7))"
@@ -187,8 +187,9 @@ SQL = {
         WITH t AS (SELECT item_id, coalesce(title, '') AS t, {_words('title')} AS w, regexp_extract_all(lower(coalesce(url, '')), '[a-z0-9]+') AS p FROM hotspot_items)
         SELECT item_id FROM t WHERE length(regexp_replace(t, '[^\x00-\x7f]', '', 'g')) > 0.7 * length(t) AND len(w) >= 2 AND len(list_intersect(w, p)) = 0""",
     "q_overlap_boost": f"""
-        WITH t AS (SELECT cluster_id, {_words('title')} AS x, unnest(cluster_items) AS m FROM hotspot_clusters), u AS (SELECT cluster_id, m.item_id AS item_id, list_intersect(x, {_words('m.title')}) AS s FROM t)
-        SELECT cluster_id, item_id, (CASE WHEN len(s) >= 3 AND len(list_filter(s, lambda x: regexp_matches(x, '[0-9]'))) >= 1 THEN 0.84 WHEN len(s) >= 3 THEN 0.78 WHEN len(s) >= 1 THEN 0.4 ELSE 0.0 END)::DOUBLE AS boost FROM u""",
+        WITH t AS (SELECT cluster_id, {_words('title')} AS x, unnest(cluster_items) AS m FROM hotspot_clusters), u AS (SELECT cluster_id, m.item_id AS item_id, list_filter(list_intersect(x, {_words('m.title')}), lambda x: NOT list_contains({_GENERIC}, x)) AS s FROM t),
+        v AS (SELECT cluster_id, item_id, len(s) AS n, len(list_filter(s, lambda x: regexp_matches(x, '[0-9]'))) >= 1 AS digit FROM u)
+        SELECT cluster_id, item_id, (CASE WHEN n >= 3 THEN 0.84 WHEN n = 2 AND digit THEN 0.78 WHEN n = 1 AND digit THEN 0.4 ELSE 0.0 END)::DOUBLE AS boost FROM v""",
     "q_activity_extract": """
         WITH t AS (SELECT item_id, try_cast(replace(regexp_extract(summary, '(?i)shared ([0-9][0-9,]*) times', 1), ',', '') AS INT) AS shares FROM hotspot_items) SELECT * FROM t WHERE shares IS NOT NULL""",
     "q_takeaways": f"""

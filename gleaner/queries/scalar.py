@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import text, url
+from gleaner.functions import fixed, text, url
 from gleaner.tables import table
 
 _SP = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -78,11 +78,9 @@ def q_title_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_entities(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-11: organisations and versions named in a title, as a sorted set."""
-    t = F.coalesce("title", F.lit(""))
-    found = F.concat(F.regexp_extract_all(t, F.lit(r"([A-Z][a-z]+ (?:Labs|Research|Works|Systems|Foundry|Collective))"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"([A-Z][a-z]+ [0-9]+\.[0-9]+)"), F.lit(1)))
-    names = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(x))))
-    return table(spark, d, "hotspot_items").select("item_id", F.array_join(names, "|").alias("entities")).filter("entities <> ''")
+    """TXT-11: organisations and products that a title or summary names, as a sorted set, by item."""
+    names = text.entities(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+    return table(spark, d, "hotspot_items").select("item_id", F.array_join(names, "|").alias("entities"), F.size(names).alias("n"))
 
 
 def q_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +133,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _URL = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
-_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + "]"
 SQL = {
     "q_item_normalise": f"""
         SELECT item_id, {_clean('title')} AS title,
@@ -169,12 +167,13 @@ SQL = {
           ELSE lower(regexp_replace(regexp_replace(trim(arxiv_id), '[?#].*$', ''), '/+$', '')) END AS u FROM papers WHERE arxiv_id IS NOT NULL""",
     "q_url_hosts": rf"SELECT lower(regexp_extract(trim(coalesce(url, '')), {_URL}, 2)) AS host, count(*) AS n FROM hotspot_items GROUP BY 1",
     "q_title_tokens": rf"""
-        WITH t AS (SELECT item_id, list_transform(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x)), lambda x: regexp_replace(x, '^([0-9]+)b$', '\1')) AS w FROM hotspot_items),
+        WITH t AS (SELECT item_id, list_transform(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x)), lambda x: regexp_replace(x, '^([0-9]+)[bmk]$', '\1')) AS w FROM hotspot_items),
         u AS (SELECT item_id, list_sort(list_distinct(list_filter(w, lambda x: length(x) >= 4 OR (length(x) >= 3 AND regexp_matches(x, '^[0-9]+$'))))) AS w FROM t)
         SELECT item_id, coalesce(array_to_string(w, ' '), '') AS words, len(w)::INT AS n FROM u""",
-    "q_entities": r"""
-        WITH t AS (SELECT item_id, list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(coalesce(title, ''), '[A-Z][a-z]+ (?:Labs|Research|Works|Systems|Foundry|Collective)'), regexp_extract_all(coalesce(title, ''), '[A-Z][a-z]+ [0-9]+\.[0-9]+')), lambda x: lower(x)))) AS e FROM hotspot_items)
-        SELECT item_id, array_to_string(e, '|') AS entities FROM t WHERE len(e) > 0""",
+    "q_entities": f"""
+        WITH b AS (SELECT item_id, coalesce(title, '') || ' ' || coalesce(summary, '') AS b FROM hotspot_items),
+        t AS (SELECT item_id, list_sort(list_distinct(list_transform(flatten([{", ".join(f"regexp_extract_all(b, '(?i){p}')" for p in fixed.ENTITY_PATTERNS)}]), lambda x: trim(lower(x))))) AS e FROM b)
+        SELECT item_id, coalesce(array_to_string(e, '|'), '') AS entities, len(e)::INT AS n FROM t""",
     "q_segments": """
         WITH t AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS s FROM documents)
         SELECT doc_id, len(s)::INT AS segments, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::INT AS longest FROM t""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import text, url
+from gleaner.functions import fixed, text, url
 from gleaner.functions.num import capped, half_up
 from gleaner.operators import items as op
 from gleaner.operators import stories as st
@@ -106,7 +106,7 @@ def q_market_signals(spark: SparkSession, d: str) -> DataFrame:
     """FOLD-08, NUM-04: the five strongest items per batch by capped engagement, one per address."""
     m = F.col("metadata")
     score = F.when(F.col("source_role") == "community_heat", 6.0).otherwise(3.5) + capped(m["activity"], 250.0, 4.0) + capped(m["hn_score"], 80.0, 3.0)
-    rows = _items(spark, d).select("item_id", "batch_id", half_up(score, 4).alias("score"), F.coalesce("canonical_url", "url", F.lit("")).alias("addr"))
+    rows = _items(spark, d).select("item_id", "batch_id", half_up(score, 4).alias("score"), F.coalesce(url.address(), F.concat(F.lit("#"), F.col("item_id").cast("string"))).alias("addr"))
     one = op.keep_best(rows, ["batch_id", "addr"], [F.desc("score"), F.asc("item_id")])
     return one.withColumn("place", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("score"), "item_id"))).filter("place <= 5").select("batch_id", "item_id", "score", "place")
 
@@ -150,7 +150,7 @@ def q_host_mix(spark: SparkSession, d: str) -> DataFrame:
     """AGG-28, URL-04: hosts by number of items, descending, with their share."""
     n = _items(spark, d).filter("url is not null").groupBy(url.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select("host", "n", half_up(F.col("n") / F.col("total"), 6).alias("share"))
+    return n.crossJoin(F.broadcast(total)).select("host", "n", half_up(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -163,11 +163,11 @@ _IMP = f"""greatest(1, least(10, round_even(1.2::DOUBLE * {_ROLE} + 1.5::DOUBLE
 _K = f"SELECT *, nullif(trim(canonical_url), '') AS k_url, {_ROLE}::DOUBLE AS w, {_IMP} AS importance FROM hotspot_items"
 _STAR = """n AS (SELECT DISTINCT item_id AS b, unnest(list_filter(['u' || nullif(trim(canonical_url), ''), 'p' || metadata.arxiv_id, 'r' || metadata.github_url], lambda x: x IS NOT NULL)) AS key FROM hotspot_items),
   f AS (SELECT key, min(b) AS a FROM n GROUP BY key HAVING count(*) > 1), e AS (SELECT DISTINCT a, b FROM n JOIN f USING (key) WHERE a < b)"""
-_STOPLIST = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+_STOPLIST = "[" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + "]"
 
 
 def _words(c: str) -> str:
-    return rf"list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda x: NOT list_contains({_STOPLIST}, x)), lambda x: regexp_replace(x, '^([0-9]+)b$', '\1')), lambda x: length(x) >= 4 OR (length(x) >= 3 AND regexp_matches(x, '^[0-9]+$')))))"
+    return rf"list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), lambda x: NOT list_contains({_STOPLIST}, x)), lambda x: regexp_replace(x, '^([0-9]+)[bmk]$', '\1')), lambda x: length(x) >= 4 OR (length(x) >= 3 AND regexp_matches(x, '^[0-9]+$')))))"
 
 
 _JAC = "CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END"
@@ -210,14 +210,15 @@ SQL = {
         SELECT story, raw, floor((CASE WHEN p95 <= p50 OR n < 3 THEN least(10.0::DOUBLE, greatest(1.0::DOUBLE, raw / greatest(p50 / 5, 0.5::DOUBLE))) WHEN raw <= p50 THEN greatest(1.0::DOUBLE, 1 + 4 * raw / p50)
           WHEN raw <= p95 THEN 5 + 4.5::DOUBLE * (raw - p50) / (p95 - p50) ELSE 9.5::DOUBLE + CASE WHEN top > p95 THEN 0.5::DOUBLE * (raw - p95) / (top - p95) ELSE 0.0 END END) * 1000 + 0.5) / 1000 AS score FROM r, p""",
     "q_headline_penalty": f"""
-        WITH t AS (SELECT item_id, batch_id, {_words('title')} AS w FROM hotspot_items), a AS (SELECT item_id, w AS x FROM t WHERE batch_id > 170), b AS (SELECT item_id AS o, w AS y FROM t WHERE batch_id BETWEEN 140 AND 170),
-        m AS (SELECT item_id, max({_JAC}) AS likest FROM a, b GROUP BY 1)
+        WITH t AS (SELECT item_id, batch_id, {_words('title')} AS w FROM hotspot_items), u AS (SELECT item_id, batch_id, w, unnest(w) AS word FROM t),
+        p AS (SELECT a.item_id, len(a.w) AS x, len(b.w) AS y, count(*) AS n FROM u a JOIN u b ON a.word = b.word AND b.batch_id BETWEEN a.batch_id - 30 AND a.batch_id - 1 GROUP BY a.item_id, b.item_id, len(a.w), len(b.w)),
+        l AS (SELECT item_id, max(n::DOUBLE / (x + y - n)) AS likest FROM p GROUP BY 1), m AS (SELECT item_id, coalesce(likest, 0.0) AS likest FROM t LEFT JOIN l USING (item_id))
         SELECT item_id, floor(likest * 10000 + 0.5) / 10000 AS likest, floor(CASE WHEN likest >= 0.5 THEN 1 - 0.3::DOUBLE * likest ELSE 1.0 END * 10000 + 0.5) / 10000 AS factor FROM m""",
     "q_sections": f"""
-        WITH k AS (SELECT item_id, {_FAM} AS family, importance FROM ({_K}) WHERE batch_id > 170), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY importance DESC, item_id) AS place FROM k QUALIFY place <= 6)
-        SELECT family, item_id, place FROM (SELECT *, row_number() OVER (ORDER BY family, place) AS g FROM r) WHERE g <= 25""",
+        WITH k AS (SELECT batch_id, item_id, {_FAM} AS family, importance FROM ({_K})), r AS (SELECT *, row_number() OVER (PARTITION BY batch_id, family ORDER BY importance DESC, item_id) AS place FROM k QUALIFY place <= 6)
+        SELECT batch_id, family, item_id, place FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY family, place) AS g FROM r) WHERE g <= 25""",
     "q_market_signals": f"""
-        WITH t AS (SELECT item_id, batch_id, coalesce(canonical_url, url, '') AS addr, floor((CASE WHEN source_role = 'community_heat' THEN 6.0::DOUBLE ELSE 3.5::DOUBLE END + {_cap('activity', 250.0, 4.0)} + {_cap('hn_score', 80.0, 3.0)}) * 10000 + 0.5) / 10000 AS score FROM hotspot_items),
+        WITH t AS (SELECT item_id, batch_id, coalesce(coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')), '#' || item_id) AS addr, floor((CASE WHEN source_role = 'community_heat' THEN 6.0::DOUBLE ELSE 3.5::DOUBLE END + {_cap('activity', 250.0, 4.0)} + {_cap('hn_score', 80.0, 3.0)}) * 10000 + 0.5) / 10000 AS score FROM hotspot_items),
         o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY batch_id, addr ORDER BY score DESC, item_id) = 1)
         SELECT batch_id, item_id, score, row_number() OVER (PARTITION BY batch_id ORDER BY score DESC, item_id) AS place FROM o QUALIFY place <= 5""",
     "q_item_signal": _SIGNAL,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import url
 from gleaner.functions.num import half_up
 from gleaner.operators import papers as pp
 from gleaner.operators import views as vw
@@ -171,7 +172,7 @@ def q_gate_scenarios(spark: SparkSession, d: str) -> DataFrame:
 
 def q_day_overlap(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-20, SET-09: addresses shared by consecutive batches, in percent of both."""
-    u = _items(spark, d).select("batch_id", F.coalesce("canonical_url", "url").alias("addr")).filter("addr is not null").distinct()
+    u = _items(spark, d).select("batch_id", url.address().alias("addr")).filter("addr is not null").distinct()
     n = u.groupBy("batch_id").agg(F.count("*").alias("n"))
     both = u.join(u.select((F.col("batch_id") - 1).alias("batch_id"), "addr"), ["batch_id", "addr"]).groupBy("batch_id").agg(F.count("*").alias("both_n"))
     pairs = n.join(n.select((F.col("batch_id") - 1).alias("batch_id"), F.col("n").alias("m")), "batch_id").join(both, "batch_id", "left")
@@ -217,8 +218,8 @@ SQL = {
         r AS (SELECT *, count(*) FILTER (in_topic = 1) OVER (PARTITION BY month) AS f, row_number() OVER (PARTITION BY month, in_topic = 1 {_ORDER}) AS g FROM k)
         SELECT month, primary_topic_id, paper_id, in_topic FROM r WHERE in_topic = 1 OR g <= 48 - f""",
     "q_source_hash": """
-        WITH h AS (SELECT batch_id, paper_id, sha256(coalesce(arxiv_id, chr(0)) || chr(31) || coalesce(title, chr(0)) || chr(31) || coalesce(score::VARCHAR, chr(0))) AS h FROM papers)
-        SELECT batch_id, count(*) AS n, sha256(string_agg(h, '' ORDER BY paper_id)) AS hash FROM h GROUP BY 1""",
+        WITH h AS (SELECT batch_id, sha256(paper_id || chr(31) || coalesce(arxiv_id, chr(0)) || chr(31) || coalesce(title, chr(0)) || chr(31) || coalesce(score::VARCHAR, chr(0))) AS h FROM papers)
+        SELECT batch_id, count(*) AS n, sha256(sum(('0x' || substr(h, 1, 15))::HUGEINT) || '-' || sum(('0x' || substr(h, 16, 15))::HUGEINT) || '-' || sum(('0x' || substr(h, 31, 15))::HUGEINT) || '-' || sum(('0x' || substr(h, 46, 15))::HUGEINT)) AS hash FROM h GROUP BY 1""",
     "q_root_index": """
         WITH t AS (SELECT fetched_at::DATE AS day, coalesce(metadata.upvotes, 0) AS upvotes FROM hotspot_items), p AS (SELECT year(day)::INT AS year, strftime(day, '%Y-%m') AS month, day, upvotes FROM t)
         SELECT year, month, day, grouping(year, month, day)::INT AS level, sum(upvotes)::BIGINT AS upvotes, count(*) AS rows FROM p GROUP BY ROLLUP (year, month, day)""",
@@ -247,7 +248,7 @@ SQL = {
         WITH r AS (SELECT source_role, fetched_at AS f, batch_date::TIMESTAMP AS t FROM hotspot_items JOIN batches USING (batch_id)), s(scenario, b, a, u) AS (VALUES ('narrow', 6, 12, true), ('wide', 36, 30, true), ('strict', 0, 18, false))
         SELECT scenario, source_role, count(*) FILTER (coalesce(f >= t - to_hours(b) AND f <= t + to_hours(a), u)) AS kept, count(*) AS seen FROM r, s GROUP BY 1, 2""",
     "q_day_overlap": """
-        WITH u AS (SELECT DISTINCT batch_id, coalesce(canonical_url, url) AS addr FROM hotspot_items WHERE coalesce(canonical_url, url) IS NOT NULL), n AS (SELECT batch_id, count(*) AS n FROM u GROUP BY 1),
+        WITH u AS (SELECT DISTINCT batch_id, coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')) AS addr FROM hotspot_items WHERE coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')) IS NOT NULL), n AS (SELECT batch_id, count(*) AS n FROM u GROUP BY 1),
         b AS (SELECT u.batch_id, count(*) AS k FROM u JOIN u v ON v.batch_id = u.batch_id + 1 AND v.addr = u.addr GROUP BY 1)
         SELECT n.batch_id, floor(100.0::DOUBLE * coalesce(k, 0) / (n.n + m.n - coalesce(k, 0)) * 10000 + 0.5) / 10000 AS percent FROM n JOIN n m ON m.batch_id = n.batch_id + 1 LEFT JOIN b ON b.batch_id = n.batch_id""",
 }

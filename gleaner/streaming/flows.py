@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gleaner.tables import shared_folder
+
 
 def read_folder(spark: SparkSession, folder: str, schema, files: int = 4) -> DataFrame:  # noqa: ANN001
     """A stream of the Parquet files of a folder."""
@@ -50,7 +53,20 @@ def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Drive a stream to the end of what is there and return what it wrote."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Drive a stream to the end of what is there and return what it wrote.
+
+    Each micro-batch is a Parquet folder of its own (written anew if the batch is repeated), and the stream's checkpoint
+    lies beside them in the shared folder; nothing is gathered on the driver. In complete mode the last batch is the result.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = query.lastProgress["batchId"] if query.lastProgress else -1
+    out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    return (out.filter(F.col("batch") == last) if mode == "complete" else out).drop("batch")
