@@ -37,13 +37,6 @@ def q_payload_shapes(spark: SparkSession, d: str) -> DataFrame:
     return readers.papers_of(payload, "j", "struct<score: int>").select(F.col("number").cast("long").alias("paper_id"), "score")
 
 
-def q_json_listing(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-12/13, PRED-42: listings as JSON arrays: parsed, cutoffs per kind, low-value names out, the first of each kept."""
-    row = F.to_json(F.struct("item_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("metadata.stars", F.lit(0)).alias("stars")))
-    pages = _items(spark, d).groupBy("batch_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("j"))
-    rows = pages.select(F.inline(F.from_json("j", "array<struct<item_id: long, title: string, stars: int>>")))
-    return rows.filter(~F.lower("title").rlike(r"awesome|tutorial|list of") & (F.length("title") >= 15) & (F.col("stars") >= 100)).select("item_id", "stars")
-
 
 def q_union_sources(spark: SparkSession, d: str) -> DataFrame:
     """SRC-18, SET-02: items, papers and hits as one relation, deduplicated by address, counted by origin."""
@@ -159,13 +152,6 @@ def q_monthly_order(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("paper_id", F.row_number().over(w).alias("place"))
 
 
-def q_display_titles(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-05/16/18: titles for display: leading tags, trailing source names and odd punctuation off."""
-    t = text.clean_text("title")
-    t = F.regexp_replace(t, r"^(?:\[[A-Za-z ]+\]|(?:NEW|RT|Re):) *", "")
-    t = F.regexp_replace(t, r" [|—] [A-Z][A-Za-z ]+$", "")
-    return _items(spark, d).select("item_id", F.regexp_replace(t, r"^[«\"' ]+|[»\"' ]+$", "").alias("shown"))
-
 
 def q_anchor_choice(spark: SparkSession, d: str) -> DataFrame:
     """TXT-17: of the members of a cluster the one whose title shares most words with the cluster's; shorter, then earlier wins."""
@@ -201,8 +187,8 @@ def q_document_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_daily_files, q_asof_file, q_payload_shapes, q_json_listing, q_union_sources, q_raw_roundtrip, q_number_coercion, q_heat_labels, q_routes, q_compact_topics, q_merge_back, q_effective_date,
-    q_link_predicates, q_regression_guard, q_closed_months, q_source_signatures, q_paper_kinds, q_usage_totals, q_artifact_share, q_monthly_order, q_display_titles, q_anchor_choice, q_handles,
+    q_daily_files, q_asof_file, q_payload_shapes, q_union_sources, q_raw_roundtrip, q_number_coercion, q_heat_labels, q_routes, q_compact_topics, q_merge_back, q_effective_date,
+    q_link_predicates, q_regression_guard, q_closed_months, q_source_signatures, q_paper_kinds, q_usage_totals, q_artifact_share, q_monthly_order, q_anchor_choice, q_handles,
     q_summary_echo, q_number_order, q_document_digest,
 )}
 
@@ -232,7 +218,6 @@ SQL = {
     "q_daily_files": f"{_FILES} SELECT date, path FROM g",
     "q_asof_file": f"{_FILES} SELECT date, path FROM g WHERE date <= DATE '2026-01-15' AND DATE '2026-01-15' - date <= 2 ORDER BY date DESC LIMIT 1",
     "q_payload_shapes": "SELECT paper_id, coalesce(score, 0) AS score FROM papers",
-    "q_json_listing": "SELECT item_id, metadata.stars AS stars FROM hotspot_items WHERE NOT regexp_matches(lower(coalesce(title, '')), 'awesome|tutorial|list of') AND length(coalesce(title, '')) >= 15 AND coalesce(metadata.stars, 0) >= 100",
     "q_union_sources": """
         WITH u AS (SELECT coalesce(nullif(trim(canonical_url), ''), nullif(trim(url), '')) AS addr, 0 AS o FROM hotspot_items UNION ALL SELECT nullif(trim(url), ''), 1 FROM hn_hits), m AS (SELECT addr, min(o) AS o FROM u WHERE addr IS NOT NULL GROUP BY 1)
         SELECT CASE WHEN o = 0 THEN 'items' ELSE 'hits' END AS origin, count(*) AS n FROM m GROUP BY 1""",
@@ -274,9 +259,6 @@ SQL = {
         SELECT item_id, floor(v * 10000 + 0.5) / 10000 AS share FROM s WHERE v > 0""",
     "q_monthly_order": """
         SELECT paper_id, row_number() OVER (PARTITION BY strftime(batch_date, '%Y-%m') ORDER BY score DESC NULLS LAST, relevance DESC NULLS LAST, novelty DESC NULLS LAST, batch_date DESC, paper_id DESC) AS place FROM papers JOIN batches USING (batch_id)""",
-    "q_display_titles": f"""
-        WITH t AS (SELECT item_id, regexp_replace(regexp_replace({_clean('title')}, '^(?:\\[[A-Za-z ]+\\]|(?:NEW|RT|Re):) *', ''), ' [|—] [A-Z][A-Za-z ]+$', '') AS t FROM hotspot_items)
-        SELECT item_id, regexp_replace(t, '^[«"'' ]+|[»"'' ]+$', '', 'g') AS shown FROM t""",
     "q_anchor_choice": f"""
         WITH m AS (SELECT cluster_id, {_w('title')} AS w, unnest(cluster_items) AS m FROM hotspot_clusters), s AS (SELECT cluster_id, m.item_id AS item_id, length(coalesce(m.title, '')) AS n, len(list_intersect({_w('m.title')}, w)) AS score FROM m)
         SELECT cluster_id, item_id FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, n, item_id) = 1""",

@@ -70,13 +70,6 @@ def q_html_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT cluster_id, link, origin FROM gleaner_pages, LATERAL article_rows(page)")
 
 
-def q_feed_items(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-01/02: entries of XML feeds, one feed per source built from its items."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    item = F.concat(F.lit("<item><title>"), esc("source_name"), F.lit(" "), F.col("item_id").cast("string"), F.lit("</title><link>"), esc("url"), F.lit("</link></item>"))
-    raw = table(spark, d, "hotspot_items").groupBy("source_id", "batch_id").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
-    return readers.feed_items(raw, "source_id", "xml").groupBy("feed").agg(F.count("*").alias("n"))
-
 
 def q_scorer_fallback(spark: SparkSession, d: str) -> DataFrame:
     """UDF-01/03/05/06: papers scored in batches, with a deterministic fallback for what is not answered."""
@@ -103,7 +96,7 @@ def q_role_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_stream_hourly, q_stream_sliding, q_stream_sessions, q_stream_totals, q_stream_first_seen, q_html_rows, q_feed_items, q_scorer_fallback, q_markdown_lists, q_role_weights,
+    q_stream_hourly, q_stream_sliding, q_stream_sessions, q_stream_totals, q_stream_first_seen, q_html_rows, q_scorer_fallback, q_markdown_lists, q_role_weights,
 )}
 SQL = {
     "q_stream_hourly": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
@@ -116,7 +109,6 @@ SQL = {
     "q_stream_totals": "SELECT event_type, count(*) AS n, sum(round(value * 100))::BIGINT AS cents FROM events GROUP BY 1",
     "q_stream_first_seen": "SELECT ts::DATE AS day, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "q_html_rows": "SELECT cluster_id, '/i/' || unnest(cluster_items).item_id AS link, 'article' AS origin FROM hotspot_clusters",
-    "q_feed_items": "SELECT source_id AS feed, count(*) AS n FROM hotspot_items GROUP BY 1",
     "q_scorer_fallback": "SELECT paper_id, CASE WHEN paper_id % 5 = 0 THEN 0 ELSE length(coalesce(title, '')) END::INT AS value, CASE WHEN paper_id % 5 = 0 THEN 'fallback' ELSE 'scorer' END AS \"by\" FROM papers",
     "q_markdown_lists": r"""
         WITH t AS (SELECT batch_id, item_id, '- [' || regexp_replace(trim(regexp_replace(coalesce(title, ''), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')), '[\[\]]', '', 'g') || '](' || coalesce(url, '') || ')' AS line FROM hotspot_items)

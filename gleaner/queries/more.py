@@ -79,28 +79,6 @@ def q_companions(spark: SparkSession, d: str) -> DataFrame:
     return members.join(kept, "item_id", "left").groupBy("cluster_id").agg(F.count("item_id").alias("members"), F.count("hit").alias("found"))
 
 
-def q_embedded_json(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-07: JSON in an attribute of a page, its quotes escaped."""
-    page = F.concat(F.lit('<div data-props="'), F.replace("props", F.lit('"'), F.lit("&quot;")), F.lit('" class="x"></div>'))
-    found = F.from_json(F.replace(F.regexp_extract(page, 'data-props="([^"]*)"', 1), F.lit("&quot;"), F.lit('"')), "k int")["k"]
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(found.cast("long")).alias("total"), F.count(found).alias("n"))
-
-
-def q_hits_gate(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-14: discussions once each that pass score or comment cutoffs and match by host or word."""
-    low = F.lower(F.coalesce("title", F.lit("")))
-    match = low.rlike(r"model|code|data|chip") | url.host(F.coalesce("url", F.lit(""))).rlike(r"\.test$")
-    rows = table(spark, d, "hn_hits").dropDuplicates().filter(((F.col("points") >= 50) | (F.col("num_comments") >= 20)) & match)
-    return rows.groupBy("object_id").agg(F.max("points").alias("points"))
-
-
-def q_timelines(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-15, PRED-24/25, WIN-08: of the known social sources the eight latest posts each, replies out, an address once."""
-    known = table(spark, d, "sources").filter("source_type in ('tweet', 'tweet_feed', 'discussion')").select("source_id")
-    rows = _items(spark, d).join(F.broadcast(known), "source_id", "left_semi").filter(~F.lower(F.coalesce("title", F.lit(""))).rlike(r"^(re|rt):"))
-    one = op.keep_best(rows.withColumn("addr", F.coalesce("url", F.lit(""))), ["source_id", "addr"], [F.asc("item_id")])
-    w = Window.partitionBy("source_id").orderBy(F.desc("item_id"))
-    return one.withColumn("place", F.row_number().over(w)).filter("place <= 8").select("source_id", "item_id", "place")
 
 
 def q_stale_feeds(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +143,7 @@ def q_seed_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_url_title_gate, q_overlap_boost, q_activity_extract, q_takeaways, q_digest_text, q_cluster_scores, q_entity_edges, q_companions, q_embedded_json, q_hits_gate, q_timelines, q_stale_feeds,
+    q_url_title_gate, q_overlap_boost, q_activity_extract, q_takeaways, q_digest_text, q_cluster_scores, q_entity_edges, q_companions, q_stale_feeds,
     q_story_projection, q_day_payload, q_unpivot_texts, q_admission, q_account_priority, q_orphan_days, q_seed_clusters,
 )}
 
@@ -211,14 +189,6 @@ SQL = {
     "q_companions": """
         WITH m AS (SELECT cluster_id, unnest(cluster_items).item_id AS item_id FROM hotspot_clusters)
         SELECT c.cluster_id, count(m.item_id) AS members, count(i.item_id) AS found FROM hotspot_clusters c LEFT JOIN m ON m.cluster_id = c.cluster_id LEFT JOIN hotspot_items i ON i.item_id = m.item_id AND i.batch_id <= 90 GROUP BY 1""",
-    "q_embedded_json": "SELECT event_type, sum(try_cast(json_extract_string(props, '$.k') AS INT))::BIGINT AS total, count(try_cast(json_extract_string(props, '$.k') AS INT)) AS n FROM events GROUP BY 1",
-    "q_hits_gate": r"""
-        WITH h AS (SELECT DISTINCT * FROM hn_hits WHERE points >= 50 OR num_comments >= 20)
-        SELECT object_id, max(points) AS points FROM h WHERE regexp_matches(lower(coalesce(title, '')), 'model|code|data|chip') OR regexp_matches(lower(regexp_extract(trim(coalesce(url, '')), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$', 2)), '\.test$') GROUP BY 1""",
-    "q_timelines": """
-        WITH k AS (SELECT source_id FROM sources WHERE source_type IN ('tweet', 'tweet_feed', 'discussion')),
-        r AS (SELECT * FROM hotspot_items WHERE source_id IN (SELECT source_id FROM k) AND NOT regexp_matches(lower(coalesce(title, '')), '^(re|rt):') QUALIFY row_number() OVER (PARTITION BY source_id, coalesce(url, '') ORDER BY item_id) = 1)
-        SELECT source_id, item_id, row_number() OVER (PARTITION BY source_id ORDER BY item_id DESC) AS place FROM r QUALIFY place <= 8""",
     "q_stale_feeds": "WITH p AS (SELECT source_id, max(batch_id) AS last FROM hotspot_items GROUP BY 1) SELECT source_id, last, (SELECT max(last) FROM p) - last > 7 AS stale FROM p",
     "q_story_projection": f"""
         WITH k AS ({_K}), a AS (SELECT k_url, count(DISTINCT source_id) AS ns, count(DISTINCT source_type) AS nt, count(*) AS ni, sum(importance) AS imp, max((source_role = 'official_news')::INT) AS o FROM k WHERE k_url IS NOT NULL GROUP BY 1)

@@ -153,16 +153,6 @@ def q_source_health(spark: SparkSession, d: str) -> DataFrame:
     return base.join(ent, "batch_id")
 
 
-def q_age_median(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-18: the upper median of hits' points per discussed item."""
-    return vw.upper_median(table(spark, d, "hn_hits").filter("item_id is not null"), ["item_id"], "points")
-
-
-def q_quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-20: boolean checks over corpus metrics."""
-    m = _items(spark, d).agg(F.countDistinct("source_id").alias("sources"), F.avg(F.when(F.col("source_role") == "official_news", 1.0).otherwise(0.0)).alias("official"), F.avg(F.col("title").isNull().cast("double")).alias("untitled"))
-    return vw.quality_gate(m, {"sources": F.col("sources") >= 8, "official": F.col("official") >= 0.35, "untitled": F.col("untitled") <= 0.01})
-
 
 def q_gate_scenarios(spark: SparkSession, d: str) -> DataFrame:
     """PRED-43: three date gates simulated over all batches."""
@@ -182,7 +172,7 @@ def q_day_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     q_paper_topic, q_topic_alias, q_topic_diagnostics, q_topic_groups, q_spotlight, q_diversion, q_monthly_dedupe, q_monthly_priority, q_monthly_caps, q_source_hash, q_root_index,
-    q_month_index, q_cube_counts, q_archive_stats, q_prev_next, q_source_mix, q_search, q_sorted_view, q_merge_sections, q_source_health, q_age_median, q_quality_gate, q_gate_scenarios, q_day_overlap,
+    q_month_index, q_cube_counts, q_archive_stats, q_prev_next, q_source_mix, q_search, q_sorted_view, q_merge_sections, q_source_health, q_gate_scenarios, q_day_overlap,
 )}
 
 
@@ -238,12 +228,6 @@ SQL = {
     "q_source_health": """
         WITH c AS (SELECT batch_id, source_id, count(*) AS n FROM hotspot_items GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY batch_id)::DOUBLE AS p FROM c)
         SELECT batch_id, count(*) AS sources, sum(n)::BIGINT AS items, floor(max(n) / sum(n)::DOUBLE * 1000000 + 0.5) / 1000000 AS top_share, floor(-sum(p * log2(p)) * 1000000 + 0.5) / 1000000 AS entropy FROM p GROUP BY 1""",
-    "q_age_median": """
-        WITH l AS (SELECT item_id, list_sort(list(points)) AS v FROM hn_hits WHERE item_id IS NOT NULL AND points IS NOT NULL GROUP BY 1) SELECT item_id, v[(len(v) // 2 + 1)::INT] AS median FROM l""",
-    "q_quality_gate": """
-        WITH m AS (SELECT count(DISTINCT source_id) AS s, avg((source_role = 'official_news')::INT) AS o, avg((title IS NULL)::INT) AS u FROM hotspot_items),
-        c AS (SELECT 'sources' AS "check", s >= 8 AS passed FROM m UNION ALL SELECT 'official', o >= 0.35 FROM m UNION ALL SELECT 'untitled', u <= 0.01 FROM m)
-        SELECT * FROM c UNION ALL SELECT 'all', bool_and(passed) FROM c""",
     "q_gate_scenarios": """
         WITH r AS (SELECT source_role, fetched_at AS f, batch_date::TIMESTAMP AS t FROM hotspot_items JOIN batches USING (batch_id)), s(scenario, b, a, u) AS (VALUES ('narrow', 6, 12, true), ('wide', 36, 30, true), ('strict', 0, 18, false))
         SELECT scenario, source_role, count(*) FILTER (coalesce(f >= t - to_hours(b) AND f <= t + to_hours(a), u)) AS kept, count(*) AS seen FROM r, s GROUP BY 1, 2""",
