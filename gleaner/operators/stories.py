@@ -57,7 +57,14 @@ def sequence_similarity(pairs: DataFrame, left: str, right: str, least: float) -
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ratio = [SequenceMatcher(None, a, b).ratio() for a, b in zip(pdf[left], pdf[right])]
+            ratio = []
+            m, last = SequenceMatcher(None), None
+            for a, b in zip(pdf[left], pdf[right]):
+                if b != last:  # the second text is indexed once for the pairs that follow each other
+                    m.set_seq2(b)
+                    last = b
+                m.set_seq1(a)
+                ratio.append(m.ratio() if m.quick_ratio() >= least else 0.0)  # counts of characters bound the ratio
             out = pdf.assign(ratio=ratio)
             yield out[out["ratio"] >= least]
 
@@ -278,3 +285,19 @@ def _greedy_state(edges: DataFrame) -> DataFrame:
         state = cut_lineage(step)
         if not state.filter("s = 0").limit(1).count():
             return state
+
+
+def near_titles(rows: DataFrame, key: str, group: str, title: str, least: float, apart: int = 0, barred: Column | None = None) -> DataFrame:
+    """``a, b, ratio`` of titles of one group (or of groups ``apart``) whose Ratcliff-Obershelp ratio is at least ``least``.
+
+    Pairs are looked at only where the titles share a significant word: without one, a ratio of two thirds would have to come
+    from pieces of words. ``barred``: rows of which no two are paired. A title has few words, so that a row meets the others of
+    its group once a word; lengths and counts of characters bound the ratio before it is worked out.
+    """
+    base = rows.select(F.col(key).alias("v"), F.col(group).alias("g"), F.lower(F.trim(title)).alias("t"), (F.coalesce(barred, F.lit(False)) if barred is not None else F.lit(False)).alias("x"), text.significant_words(F.col(title)).alias("w")).filter("t <> ''")
+    each = base.select("v", "g", F.explode("w").alias("word"))
+    left, right = each.select(F.col("v").alias("a"), "g", "word"), each.select(F.col("v").alias("b"), (F.col("g") - apart).alias("g"), "word")
+    pairs = left.join(right, ["g", "word"]).filter(F.col("a") < F.col("b") if apart == 0 else F.col("a") != F.col("b")).select("a", "b").distinct()
+    side = lambda s: base.select(F.col("v").alias(s), F.col("t").alias(f"t_{s}"), F.col("x").alias(f"x_{s}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(~(F.col("x_a") & F.col("x_b")))
+    return sequence_similarity(joined.select("a", "b", "t_a", "t_b"), "t_a", "t_b", least).select("a", "b", "ratio")

@@ -25,7 +25,7 @@ def q_daily_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_asof_file(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-06, DT-05: the latest of the files above not after a target, within its staleness."""
+    """DT-05, JOIN-06: the latest of the files above not after a target, within its staleness."""
     return readers.as_of(q_daily_files(spark, d), F.lit("2026-01-15").cast("date"), 2)
 
 
@@ -39,7 +39,7 @@ def q_payload_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_union_sources(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-18, SET-02: items, papers and hits as one relation, deduplicated by address, counted by origin."""
+    """SET-02: items, papers and hits as one relation, deduplicated by address, counted by origin."""
     a = _items(spark, d).select(F.lit("items").alias("origin"), "item_id", url.address().alias("addr"))
     b = table(spark, d, "hn_hits").select(F.lit("hits").alias("origin"), F.col("item_id"), F.nullif(F.trim("url"), F.lit("")).alias("addr"))
     both = a.unionByName(b).filter("addr is not null")
@@ -48,7 +48,7 @@ def q_union_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_raw_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-19, SNK-01/03: items to JSON text and back by schema, nothing lost."""
+    """SRC-19: items to JSON text and back by schema, nothing lost."""
     rows = _items(spark, d).select("item_id", F.to_json(F.struct("title", "tags", "metadata")).alias("j"))
     back = F.from_json("j", "title string, tags array<string>, metadata struct<stars: int, host: string>")
     return rows.select("item_id", F.md5(F.coalesce(back["title"], F.lit(""))).alias("h"), F.coalesce(F.size(back["tags"]), F.lit(-1)).alias("tags"), back["metadata"]["stars"].alias("stars"))
@@ -75,14 +75,14 @@ def q_routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_compact_topics(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-04/23, LIM-03: clusters in compact form: two pieces of evidence, a tier, a short text."""
+    """PRJ-04, LIM-03: clusters in compact form: two pieces of evidence, a tier, a short text."""
     tier = F.when(F.array_contains("source_roles", "official_news"), "official").when(F.size("source_ids") >= 3, "wide").otherwise("single")
     evidence = F.array_join(F.transform(F.slice(F.array_sort(F.transform("cluster_items", lambda m: m["item_id"])), 1, 2), lambda x: x.cast("string")), ",")
     return table(spark, d, "hotspot_clusters").select("cluster_id", evidence.alias("evidence"), tier.alias("tier"), F.md5(text.concise(text.clean_text("summary"), 160)).alias("h"))
 
 
 def q_merge_back(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-20/25, JOIN-14: a second text laid over the first where there is one, with a fallback."""
+    """PRJ-20: a second text laid over the first where there is one, with a fallback."""
     hits = table(spark, d, "hn_hits").filter("item_id is not null and title is not null").groupBy("item_id").agg(F.min("title").alias("other"))
     return _items(spark, d).join(hits, "item_id", "left").select("item_id", F.md5(F.coalesce("other", "title", F.lit(""))).alias("h"), F.col("other").isNotNull().alias("replaced"))
 
@@ -95,7 +95,7 @@ def q_effective_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_link_predicates(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-19/20/21/22: media links, paper links, generic titles and links that leave their source."""
+    """PRED-20: media links, paper links, generic titles and links that leave their source."""
     u, h = F.lower(F.coalesce("url", F.lit(""))), url.host(F.coalesce("url", F.lit("")))
     rows = _items(spark, d).join(F.broadcast(table(spark, d, "sources").select("source_id", F.col("host").alias("own"))), "source_id", "left")
     return rows.groupBy("source_id").agg(
@@ -105,33 +105,33 @@ def q_link_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_regression_guard(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-27/28: would a new snapshot lose too much? Sources of the last batches against those of all."""
+    """PRED-27: would a new snapshot lose too much? Sources of the last batches against those of all."""
     a = _items(spark, d).agg(F.countDistinct("source_id").alias("old_n"))
     b = _items(spark, d).filter("batch_id > 178").agg(F.countDistinct("source_id").alias("new_n"))
     return a.crossJoin(F.broadcast(b)).select("old_n", "new_n", (F.col("new_n") < 0.5 * F.col("old_n")).alias("guarded"))
 
 
 def q_closed_months(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-29, PRJ-12: months that are over at a given day."""
+    """PRED-29: months that are over at a given day."""
     now = F.lit("2026-03-31").cast("date")
     month = F.last_day("batch_date")
     return table(spark, d, "batches").groupBy(month.alias("month_end")).agg(F.count("*").alias("batches")).select("month_end", "batches", ((F.col("month_end") < now) | (F.col("month_end") == now)).alias("closed"))
 
 
 def q_source_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-33, SET-08: signatures of clusters by their sources; clusters of papers alone."""
+    """SET-08: signatures of clusters by their sources; clusters of papers alone."""
     paper_only = F.size(F.array_except("source_roles", F.array(F.lit("paper_trending"), F.lit("research_backbone")))) == 0
     return table(spark, d, "hotspot_clusters").groupBy(F.array_join(F.array_sort("source_types"), "+").alias("signature")).agg(F.count("*").alias("n"), F.count_if(paper_only).alias("paper_only"))
 
 
 def q_paper_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-38, ARR-01: kinds a paper qualifies for, in registry order, and the first."""
+    """ARR-01: kinds a paper qualifies for, in registry order, and the first."""
     kinds = F.array_compact(F.array(F.when((F.col("novelty") >= 8) & (F.col("score") >= 14), "frontier"), F.when((F.col("relevance") >= 8) & (F.col("score") >= 14), "hot")))
     return table(spark, d, "papers").select("paper_id", F.array_join(kinds, ",").alias("kinds"), F.get(kinds, F.lit(0)).alias("first")).filter("kinds <> ''")
 
 
 def q_usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-23, SRC-29, PRJ-13/15: requests and items by provider family, largest first."""
+    """Requests and items by provider family, largest first."""
     family = F.regexp_extract("source_id", r"^([a-z]+)", 1)
     rows = _items(spark, d).groupBy(family.alias("provider")).agg(F.countDistinct("batch_id", "source_id").alias("requests"), F.count("*").alias("items"))
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("items"), "provider")))
@@ -161,14 +161,14 @@ def q_anchor_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_handles(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-19/20/21: names reduced to handles, with a profile text of their parts."""
+    """TXT-19: names reduced to handles, with a profile text of their parts."""
     n = F.trim("author")
     handle = F.regexp_replace(F.regexp_replace(F.lower(n), "^@", ""), "[^a-z0-9]+", "_")
     return table(spark, d, "hn_hits").filter("author is not null").groupBy(handle.alias("handle")).agg(F.count("*").alias("n"), F.min(F.concat_ws(" ", n, F.lit("hits"))).alias("profile"))
 
 
 def q_summary_echo(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-24/25: summaries that begin like their title; lines set off by a mark."""
+    """TXT-25: summaries that begin like their title; lines set off by a mark."""
     t, s = F.lower(text.clean_text("title")), F.lower(text.clean_text("summary"))
     echo = (F.length(t) >= 10) & F.startswith(s, F.substring(t, 1, 10))
     return _items(spark, d).select("item_id", echo.alias("echo"), F.md5(F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?m)^", "> ")).alias("h")).filter("echo")
@@ -182,7 +182,7 @@ def q_number_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_document_digest(spark: SparkSession, d: str) -> DataFrame:
-    """UDF-08: all rows of a batch made one document: a count, the longest title and the sum of scores, in one pass."""
+    """All rows of a batch made one document: a count, the longest title and the sum of scores, in one pass."""
     return table(spark, d, "papers").groupBy("batch_id").agg(F.count("*").alias("n"), F.max(F.length("title")).alias("longest"), F.sum("score").alias("score"))
 
 

@@ -72,7 +72,7 @@ def q_html_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_scorer_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """UDF-01/03/05/06: papers scored in batches, with a deterministic fallback for what is not answered."""
+    """Papers scored in batches, with a deterministic fallback for what is not answered."""
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
         ok = pdf[pdf["paper_id"] % 5 != 0]
@@ -85,7 +85,7 @@ def q_scorer_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_markdown_lists(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-08/09: rendered lists per batch, by hash."""
+    """Rendered lists per batch, by hash."""
     rows = table(spark, d, "hotspot_items").select("batch_id", "item_id", text.clean_text("title").alias("title"), "url")
     return sinks.markdown_list(rows, "batch_id", ["item_id"], "title", "url").select("batch_id", F.md5("body").alias("h"))
 

@@ -26,7 +26,7 @@ def q_freshness_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_age_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-04: items outside hard age bounds around their batch's date."""
+    """Items outside age bounds around their batch's date."""
     joined = _items(spark, d).join(F.broadcast(table(spark, d, "batches")), "batch_id")
     day = F.col("batch_date").cast("timestamp")
     inside = F.coalesce(F.col("fetched_at").between(day - F.expr("INTERVAL '14' DAY"), day + F.expr("INTERVAL '18' HOUR")), F.lit(True))
@@ -34,7 +34,7 @@ def q_age_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_on_date(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-07/08: items on a day's window, unknown times rejected, from a first day on."""
+    """Items by day, those of its middle hours counted, unknown times rejected, from a first day on."""
     rows = _items(spark, d).filter(F.col("fetched_at") >= F.lit("2026-01-01").cast("timestamp"))
     return rows.groupBy(F.to_date("fetched_at").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.hour("fetched_at").between(6, 18)).alias("daytime"))
 
@@ -182,7 +182,7 @@ def q_right_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_authority_merge(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-15, SORT-06: names known as authors of papers, items or hits, merged: sources united, largest weight, seen anywhere."""
+    """JOIN-15: names known as authors of papers, items or hits, merged: sources united, largest weight, seen anywhere."""
     papers = table(spark, d, "papers").select(F.explode("authors").alias("name"), F.lit("papers").alias("ref"), F.lit(3).alias("tier"))
     items = _items(spark, d).select(F.explode("authors").alias("name"), F.lit("items").alias("ref"), F.lit(2).alias("tier"))
     hits = table(spark, d, "hn_hits").select(F.col("author").alias("name"), F.lit("hits").alias("ref"), F.lit(1).alias("tier"))
@@ -191,7 +191,7 @@ def q_authority_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_follow_graph(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-16, NUM-09: co-authors of the most prolific names: support, kinds and a score."""
+    """JOIN-16: co-authors of the most prolific names: support, kinds and a score."""
     names = table(spark, d, "papers").select("paper_id", "primary_topic_id", F.explode("authors").alias("author"))
     seeds = names.groupBy("author").agg(F.count("*").alias("n")).filter("n >= 15").select(F.col("author").alias("seed"))
     edges = names.join(seeds, F.col("author") == F.col("seed"), "left_semi").select("paper_id", F.col("author").alias("seed"))
@@ -207,7 +207,7 @@ def q_social_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_newsworthy(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-23/24: social texts worth keeping: no reply or repost, and a link, engagement or a news pattern."""
+    """PRED-24: social texts worth keeping: no reply or repost, and a link, engagement or a news pattern."""
     t = F.lower(F.coalesce("title", F.lit("")))
     reply = t.rlike(r"^(re|rt):")
     news = t.rlike(r"arrives|unveils|opens|launch|release")
@@ -217,7 +217,7 @@ def q_newsworthy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_batches(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-09/10, PRJ-09: batches of adaptive size per day, and the length of the prompt each would make."""
+    """WIN-09: batches of adaptive size per day, and the length of the prompt each would make."""
     rows = table(spark, d, "papers").select("batch_id", "paper_id", F.length(F.coalesce("title", F.lit(""))).alias("len"))
     per = Window.partitionBy("batch_id")
     n = F.count("*").over(per)

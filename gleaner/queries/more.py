@@ -15,7 +15,7 @@ from gleaner.tables import table
 
 
 def q_url_title_gate(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-01: titles that share no word with their address; short and non-Latin titles pass."""
+    """Titles that share no word with their address; short and non-Latin titles pass."""
     t = F.coalesce("title", F.lit(""))
     w = text.significant_words(t)
     path = F.regexp_extract_all(F.lower(F.coalesce("url", F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -31,7 +31,7 @@ def q_overlap_boost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_activity_extract(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-15: a number of shares named in a summary."""
+    """A number of shares named in a summary."""
     n = F.regexp_extract("summary", r"(?i)shared ([0-9][0-9,]*) times", 1)
     return _items(spark, d).select("item_id", F.replace(n, F.lit(","), F.lit("")).try_cast("int").alias("shares")).filter("shares is not null")
 
@@ -53,7 +53,7 @@ def q_digest_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_cluster_scores(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-06/07/08: a deterministic cluster score: role weights, numbers of sources and types, logarithms of engagement."""
+    """AGG-06: a deterministic cluster score: role weights, numbers of sources and types, logarithms of engagement."""
     members = table(spark, d, "hotspot_clusters").select("cluster_id", F.explode("cluster_items").alias("m")).select("cluster_id", F.col("m.item_id").alias("item_id"))
     rows = members.join(_items(spark, d), "item_id")
     m = F.col("metadata")
@@ -73,16 +73,16 @@ def q_entity_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_companions(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-17: cluster members joined to their items: how many there are, how many are left out."""
+    """Cluster members joined to their items: how many there are, how many of them have a canonical address."""
     members = table(spark, d, "hotspot_clusters").select("cluster_id", F.explode_outer("cluster_items").alias("m")).select("cluster_id", F.col("m.item_id").alias("item_id"))
-    kept = _items(spark, d).filter("batch_id <= 90").select("item_id", F.lit(1).alias("hit"))
+    kept = _items(spark, d).filter("canonical_url is not null and trim(canonical_url) <> ''").select("item_id", F.lit(1).alias("hit"))
     return members.join(kept, "item_id", "left").groupBy("cluster_id").agg(F.count("item_id").alias("members"), F.count("hit").alias("found"))
 
 
 
 
 def q_stale_feeds(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-17: sources whose newest item lies more than a week before the newest of all."""
+    """Sources whose newest item lies more than a week before the newest of all."""
     per = _items(spark, d).groupBy("source_id").agg(F.max("batch_id").alias("last"))
     top = per.agg(F.max("last").alias("top"))
     return per.crossJoin(F.broadcast(top)).select("source_id", "last", (F.col("top") - F.col("last") > 7).alias("stale"))
@@ -102,7 +102,7 @@ def q_story_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_day_payload(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-22, AGG-27: per batch a document of totals and counts by family."""
+    """Per batch a document of totals and counts by family."""
     fam = _items(spark, d).groupBy("batch_id", op.source_family(F.col("source_role"), F.col("source_type")).alias("family")).agg(F.count("*").alias("n"))
     parts = F.array_sort(F.collect_list(F.struct("family", "n")))
     out = fam.groupBy("batch_id").agg(F.sum("n").alias("items"), F.array_join(F.transform(parts, lambda x: F.concat(x["family"], F.lit("="), x["n"].cast("string"))), ";").alias("families"))
@@ -110,20 +110,20 @@ def q_day_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_unpivot_texts(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-14: texts by field in long form, each distinct text once, with the rows it serves."""
+    """Texts by field in long form, each distinct text once, with the rows it serves."""
     longs = _items(spark, d).select("item_id", F.expr("stack(2, 'title', title, 'summary', summary) as (field, txt)")).filter("txt is not null")
     return longs.groupBy("field", F.md5("txt").alias("h")).agg(F.count("*").alias("rows"), F.min("item_id").alias("first"))
 
 
 def q_admission(spark: SparkSession, d: str) -> DataFrame:
-    """PRED-18: items admitted to a section: not featured, important enough, of a telling title."""
+    """Items admitted to a section: not featured, important enough, of a telling title."""
     rows = _with_keys(spark, d).filter(F.col("importance") >= 5)
     featured = op.keep_best(_with_keys(spark, d), ["batch_id"], [F.desc("importance"), F.asc("item_id")]).select("item_id")
     return rows.join(featured, "item_id", "left_anti").filter(F.size(text.significant_words(F.col("title"))) >= 3).select("item_id", "batch_id")
 
 
 def q_account_priority(spark: SparkSession, d: str) -> DataFrame:
-    """SORT-06/07: the 24 most active authors by papers, then name."""
+    """The 24 most active authors by papers, then name."""
     names = table(spark, d, "papers").select(F.explode("authors").alias("name")).groupBy("name").agg(F.count("*").alias("papers"))
     # the list itself is the feature: its 24 rows are taken first, the numbering runs over them alone
     top = names.orderBy(F.desc("papers"), "name").limit(24)
@@ -188,7 +188,7 @@ SQL = {
         SELECT DISTINCT a, b FROM n JOIN f USING (key) WHERE a < b""",
     "q_companions": """
         WITH m AS (SELECT cluster_id, unnest(cluster_items).item_id AS item_id FROM hotspot_clusters)
-        SELECT c.cluster_id, count(m.item_id) AS members, count(i.item_id) AS found FROM hotspot_clusters c LEFT JOIN m ON m.cluster_id = c.cluster_id LEFT JOIN hotspot_items i ON i.item_id = m.item_id AND i.batch_id <= 90 GROUP BY 1""",
+        SELECT c.cluster_id, count(m.item_id) AS members, count(i.item_id) AS found FROM hotspot_clusters c LEFT JOIN m ON m.cluster_id = c.cluster_id LEFT JOIN hotspot_items i ON i.item_id = m.item_id AND nullif(trim(i.canonical_url), '') IS NOT NULL GROUP BY 1""",
     "q_stale_feeds": "WITH p AS (SELECT source_id, max(batch_id) AS last FROM hotspot_items GROUP BY 1) SELECT source_id, last, (SELECT max(last) FROM p) - last > 7 AS stale FROM p",
     "q_story_projection": f"""
         WITH k AS ({_K}), a AS (SELECT k_url, count(DISTINCT source_id) AS ns, count(DISTINCT source_type) AS nt, count(*) AS ni, sum(importance) AS imp, max((source_role = 'official_news')::INT) AS o FROM k WHERE k_url IS NOT NULL GROUP BY 1)

@@ -58,6 +58,17 @@ def q_seq_similarity(spark: SparkSession, d: str) -> DataFrame:
     return st.sequence_similarity(rows.filter("a is not null and b is not null and a <> b"), "a", "b", 0.65).select("cluster_id", "item_id", half_up(F.col("ratio"), 4).alias("ratio"))
 
 
+def q_title_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """JOIN-11: titles of one batch that are alike as sequences, no two papers."""
+    return st.near_titles(_items(spark, d), "item_id", "batch_id", "title", 0.65, barred=F.col("source_type") == "paper").select("a", "b", half_up(F.col("ratio"), 4).alias("ratio"))
+
+
+def q_headline_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """JOIN-20: near-duplicate headlines of consecutive batches, counted."""
+    near = st.near_titles(_items(spark, d), "item_id", "batch_id", "title", 0.7, apart=1)
+    return near.join(_items(spark, d).select(F.col("item_id").alias("a"), "batch_id"), "a").groupBy("batch_id").agg(F.count("*").alias("repeats"))
+
+
 def q_story_representative(spark: SparkSession, d: str) -> DataFrame:
     """AGG-02/05: by address the representing item and the sorted sources."""
     rows = _with_keys(spark, d).filter("k_url is not null").withColumn("story", F.col("k_url"))
@@ -154,7 +165,7 @@ def q_host_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q_story_edges, q_story_components, q_title_pairs, q_cluster_title_likeness, q_seq_similarity, q_story_representative, q_story_mode, q_story_score, q_headline_penalty, q_select_featured,
+    q_story_edges, q_story_components, q_title_pairs, q_cluster_title_likeness, q_seq_similarity, q_story_representative, q_title_sequences, q_headline_repeats, q_story_mode, q_story_score, q_headline_penalty, q_select_featured,
     q_sections, q_claimed_waterfall, q_market_signals, q_item_signal, q_section_score, q_title_dedup_fold, q_stale_stories, q_topic_summary, q_host_mix,
 )}
 

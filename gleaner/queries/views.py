@@ -121,9 +121,12 @@ def q_prev_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_source_mix(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-28: tags by frequency."""
+    """AGG-28: tags by frequency; the rank is counted over the distinct frequencies, not over all tags."""
     n = _items(spark, d).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))))
+    # few frequencies are distinct, however many tags there are
+    levels = n.groupBy("n").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return n.join(levels.withColumn("place", (before + 1).cast("int")).drop("_m"), "n").select("tag", "n", "place")
 
 
 def q_search(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +135,7 @@ def q_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_sorted_view(spark: SparkSession, d: str) -> DataFrame:
-    """SORT-01/08: the head of a view sorted by several keys, nulls last, ties by key."""
+    """The head of a view sorted by several keys, nulls last, ties by key."""
     rows = table(spark, d, "hn_hits").select("object_id", "item_id", "points", "num_comments").dropDuplicates()
     w = Window.orderBy(F.desc_nulls_last("points"), F.desc_nulls_last("num_comments"), "object_id")
     return rows.orderBy(F.desc_nulls_last("points"), F.desc_nulls_last("num_comments"), "object_id").limit(100).withColumn("place", F.row_number().over(w)).select("object_id", "points", "place")
@@ -146,7 +149,7 @@ def q_merge_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_source_health(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-18/19: per batch: active sources, single-source share, entropy of sources."""
+    """Per batch: active sources, single-source share, entropy of sources."""
     counts = _items(spark, d).groupBy("batch_id", "source_id").agg(F.count("*").alias("n"))
     ent = vw.entropy(counts, ["batch_id"], "n")
     base = counts.groupBy("batch_id").agg(F.count("*").alias("sources"), F.sum("n").alias("items"), half_up(F.max("n") / F.sum("n"), 6).alias("top_share"))
@@ -161,7 +164,7 @@ def q_gate_scenarios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_day_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN-20, SET-09: addresses shared by consecutive batches, in percent of both."""
+    """SET-09: addresses shared by consecutive batches, in percent of both."""
     u = _items(spark, d).select("batch_id", url.address().alias("addr")).filter("addr is not null").distinct()
     n = u.groupBy("batch_id").agg(F.count("*").alias("n"))
     both = u.join(u.select((F.col("batch_id") - 1).alias("batch_id"), "addr"), ["batch_id", "addr"]).groupBy("batch_id").agg(F.count("*").alias("both_n"))
