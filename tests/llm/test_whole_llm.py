@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
-from gleaner.llm import history, queries_p2
+import numpy as np
+import pytest
+
+from gleaner.llm import history, neardup, queries_p2, residue
 
 ITEM = "item_id long, batch_id int, source_id string, title string, summary string, canonical_url string, lang string"
 WORDS = "amber birch cedar delta ember fjord grove hazel inlet jetty knoll larch maple north ocean pearl quartz ridge stone tidal umber vale willow xenon yarrow zephyr".split()
@@ -33,3 +37,33 @@ def test_misspelt_pairs_of_short_titles(spark):
     df = history.pivot_table(spark.createDataFrame(rows, "tid long, core string"))
     got = [tuple(r) for r in history.misspelt_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the tables are not here")
+def test_pairs_of_a_whole_table_against_brute_force(spark):
+    """Every pair of classes by counting shared substrings, in blocks of one row against all others."""
+    from collections import defaultdict
+
+    folder = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{folder}/hotspot_items.parquet").select("item_id", "title", "summary").collect()
+    index = residue.ExemplarIndex(residue.weights_of(residue.count_fields([x for r in rows for x in r[1:]])))
+    classes = defaultdict(list)
+    for i, t, s in rows:
+        x = neardup.comparable_text(t, s)
+        if x and not index.holds(t, True) and not index.holds(s, False):
+            classes[x].append(i)
+    number: dict[str, int] = {}
+    sets = [np.array(sorted({number.setdefault(x[k : k + 5], len(number)) for k in range(len(x) - 4)})) for x in classes]
+    size = np.array([len(z) for z in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    owner, begin = owner[order], np.searchsorted(flat[order], np.arange(len(number) + 1))
+    members = list(classes.values())
+    want = {(a, b) for ids in members for a in ids for b in ids if a < b}
+    for k, z in enumerate(sets):
+        if len(z):
+            shared = np.bincount(np.concatenate([owner[begin[q] : begin[q + 1]] for q in z]), minlength=len(sets))[k + 1 :]
+            for j in np.flatnonzero(shared / (size[k + 1 :] + len(z) - shared) >= 0.7) + k + 1:
+                want |= {(min(a, b), max(a, b)) for a in members[k] for b in members[j]}
+    got = {tuple(r) for r in queries_p2.p2_found(spark, folder).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 100
