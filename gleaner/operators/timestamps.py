@@ -219,6 +219,12 @@ def order_mixtures(days: DataFrame, rounds: int = 30, prior: float = 0.05) -> Da
     return classes.groupBy("_source").applyInPandas(fit, "_source string, w_dmy double, w_mdy double, w_ymd double, n long")
 
 
+def fitted_orders(values: DataFrame) -> DataFrame:
+    """:func:`order_mixtures` of the values. Only texts that begin like a numeric date are read: no other has an order to tell."""
+    numeric = values.filter(F.col("_text").rlike(r"(?U)^\s*[0-9０-９]{1,2}[./\-／．－][0-9０-９]"))
+    return order_mixtures(_settle(_days(read_texts(numeric, "_text")).select("_source", "_near_us", "_family", *[f"_{o}" for o in ORDERS])))
+
+
 def normalise(values: DataFrame, threshold: float = 0.95, mixtures: DataFrame | None = None) -> DataFrame:
     """One instant per value, or why there is none.
 
@@ -228,7 +234,7 @@ def normalise(values: DataFrame, threshold: float = 0.95, mixtures: DataFrame |
     on ``values``.
     """
     days = _settle(_days(read_texts(values, "_text")).drop("_s", "_p"))
-    weights = bounded(order_mixtures(days) if mixtures is None else mixtures)
+    weights = bounded(fitted_orders(values) if mixtures is None else mixtures)
     df = days.join(weights.drop("n"), "_source", "left")
     post = {o: F.coalesce(F.col(f"w_{o}"), F.lit(1 / 3)) * _likelihood(F.col(f"_{o}")) for o in ORDERS}
     total = post["dmy"] + post["mdy"] + post["ymd"] + F.lit(NOISE * 0.02)

@@ -24,8 +24,7 @@ def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_source_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted day/month order of each source that writes purely numeric dates."""
-    days = ts._days(ts.read_texts(_values(spark, sf_dir), "_text"))
-    return ts.order_mixtures(days).select(F.col("_source").alias("source_id"), "w_dmy", "w_mdy", "w_ymd", "n")
+    return ts.fitted_orders(_values(spark, sf_dir)).select(F.col("_source").alias("source_id"), "w_dmy", "w_mdy", "w_ymd", "n")
 
 
 QUERIES = {"p3_found": p3_found, "p3_status": p3_status, "p3_source_orders": p3_source_orders}
