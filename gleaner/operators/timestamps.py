@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.tables import bounded
+from gleaner.tables import bounded, spread
 
 # Names of the months in the languages of the sources, all forms in lower case.
 MONTHS = {
@@ -255,14 +255,14 @@ def normalise(values: DataFrame, threshold: float = 0.95, mixtures: DataFrame |
     epoch = F.when(digits <= 10, number * 1_000_000).when(digits <= 13, number * 1000).when(digits <= 16, number).otherwise(F.floor(number / 1000))
     df = df.withColumns({"_local": F.when(F.col("_family") != "epoch", local), "_epoch": F.when(F.col("_family") == "epoch", epoch.cast("bigint"))})
     # zones
-    zones = sorted(available_timezones())
-    known = lambda z: z.isin(zones)
+    zones = ", ".join(f"'{z}'" for z in sorted(available_timezones()))
+    known = lambda column: F.expr(f"{column} in ({zones})")
     sign = F.when(F.substring("_off", 1, 1) == "+", 1).otherwise(-1)
     off = F.regexp_replace(F.substring("_off", 2, 6), ":", "")
     off_min = F.when(F.col("_off") != "", sign * (F.substring(off, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(off, 3, 2).try_cast("int"), F.lit(0))))
     meanings = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
     generic = F.create_map(*[F.lit(x) for kv in GENERIC_ZONES.items() for x in kv])
-    home = F.when(known(F.col("_home")), F.col("_home"))
+    home = F.when(known("_home"), F.col("_home"))
     here = F.transform(
         F.array(*[F.col("_local") + F.lit(d * DAY_US) for d in range(-240, 121, 60)]),
         lambda t: F.floor(_offset_us(t, F.coalesce(home, F.lit("UTC"))) / 60_000_000).cast("int"),
@@ -273,7 +273,7 @@ def normalise(values: DataFrame, threshold: float = 0.95, mixtures: DataFrame |
     df = df.withColumn("_min", F.coalesce(off_min, F.when(F.col("_bracket") != "", F.lit(None)).when(F.col("_abbr") != "", abbr_min)))
     zone = (
         F.when(F.col("_min").isNotNull(), F.lit(None))
-        .when(F.col("_bracket") != "", F.when(known(F.col("_bracket")), F.col("_bracket")))
+        .when(F.col("_bracket") != "", F.when(known("_bracket"), F.col("_bracket")))
         .when(F.col("_abbr") != "", F.try_element_at(generic, F.col("_abbr")))
         .otherwise(home)
     )
@@ -317,4 +317,4 @@ def digest_values(items: DataFrame, clusters: DataFrame, sources: DataFrame) ->
         F.lit(None).cast("bigint").alias("_near_us"), F.col("published_at").alias("_text"),
     )
     zones = bounded(sources.select(F.col("source_id").alias("_source"), F.col("home_zone").alias("_home")).dropDuplicates(["_source"]))
-    return a.unionByName(b).join(zones, "_source", "left")
+    return spread(a.unionByName(b)).join(zones, "_source", "left")
