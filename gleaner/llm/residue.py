@@ -54,19 +54,19 @@ RESIDUE: dict[str, list[str]] = {
     "missing": [
         "Not Found", "Page not found", "Oops! That page can't be found", "The page you requested could not be found", "The page you are looking for was moved or removed", "The page you were looking for doesn't exist", "The requested URL was not found on this server", "Nothing was found at this location", "This page does not exist",
         "The resource you are looking for might have been removed, had its name changed, or is temporarily unavailable", "The address was not found on this server",
-        "Seite nicht gefunden", "Die Seite wurde nicht gefunden", "Page introuvable", "La page est introuvable", "La page demandée a été déplacée ou supprimée", "La page est introuvable ou a été déplacée", "Página no encontrada", "No se encontró la página", "Página não encontrada", "A página não foi encontrada", "Pagina non trovata", "La pagina non è stata trovata",
+        "Seite nicht gefunden", "Die Seite wurde nicht gefunden", "Page introuvable", "La page est introuvable", "La page demandée a été déplacée ou supprimée", "Página no encontrada", "No se encontró la página", "Página não encontrada", "A página não foi encontrada", "Pagina non trovata", "La pagina non è stata trovata",
         "Страница не найдена", "Такой страницы не существует", "页面不存在", "找不到页面", "您访问的页面不存在", "ページが見つかりません", "お探しのページは見つかりません",
     ],
     "failure": [
-        "Error", "Internal Server Error", "The server encountered an internal error and was unable to complete your request", "Bad Gateway", "Gateway Timeout", "Service Unavailable", "Service Temporarily Unavailable", "Error Backend fetch failed", "Guru Meditation", "Backend fetch failed, guru id", "upstream connect error or disconnect/reset before headers", "upstream connect error, reset reason", "no healthy upstream",
+        "Error", "Internal Server Error", "The server encountered an internal error and was unable to complete your request", "Bad Gateway", "Gateway Timeout", "Service Unavailable", "Service Temporarily Unavailable", "Error Backend fetch failed", "Guru Meditation", "upstream connect error or disconnect/reset before headers", "upstream connect error, reset reason", "no healthy upstream",
         "Traceback (most recent call last): File line in", "KeyError", "File views.py line in render", "Warning: Undefined variable in index.php on line", "Notice: Undefined index in post.php on line", "Fatal error: Uncaught exception in index.php on line", "Error establishing a database connection", "There has been a critical error on this website",
         "Something went wrong", "Something went wrong on our side", "Sorry, something went wrong on our end, please try again later", "An unexpected error occurred", "An error occurred while processing your request", "Whoops, looks like something went wrong", "The incident number is", "Reference number", "Error code", "ref", "Request ID", "Request timed out", "The connection timed out", "The session timed out",
-        "Too Many Requests", "Too many requests, slow down", "Retry after a few seconds", "Try again later",
+        "Too Many Requests", "Too many requests, please slow down", "Retry after a few seconds", "Try again later",
         "Es ist ein Fehler aufgetreten", "Kennung des Fehlers", "Fehler Nummer", "Une erreur est survenue", "Une erreur s'est produite", "Référence de l'erreur", "Se ha producido un error", "Código de error", "Ocorreu um erro", "Código do erro", "Si è verificato un errore", "Codice errore", "Произошла ошибка", "Код ошибки", "出现错误", "发生错误", "错误编号", "エラーが発生しました", "番号",
     ],
     "blocked": [
-        "Access denied", "Forbidden", "Unauthorized", "You don't have permission to access this resource", "Just a moment", "Attention Required! Cloudflare", "Attention required", "Sorry, you have been blocked", "Checking your browser before accessing", "Checking if the site connection is secure", "Checking that your connection is secure", "Verify you are human by completing the action below", "Click the box below to show us you are not a robot", "Check the box to prove that you are human",
-        "I'm not a robot", "Are you a robot", "We noticed something unusual", "Our systems have detected unusual traffic from your computer network", "Unusual traffic from your network", "We have paused access to this page", "Sign in to continue", "Please log in to continue reading", "Log in to keep reading", "Your session has expired", "Please log in", "Subscribe to continue reading", "This content is not available in your region",
+        "Access denied", "Forbidden", "Unauthorized", "You don't have permission to access this resource", "Just a moment", "Attention Required! Cloudflare", "Attention required", "Sorry, you have been blocked", "Checking your browser before accessing", "Checking if the site connection is secure", "Verify you are human by completing the action below", "Click the box below to show us you are not a robot", "Check the box to prove that you are human",
+        "I'm not a robot", "Are you a robot", "We noticed something unusual", "Our systems have detected unusual traffic from your computer network", "Unusual traffic from your network", "We have paused access to this page", "Sign in to continue", "Please log in to continue reading", "Your session has expired", "Please log in", "Subscribe to continue reading", "This content is not available in your region",
         "Zugriff verweigert", "Accès refusé", "Acceso denegado", "Acesso negado", "Accesso negato", "Доступ запрещён", "访问被拒绝", "アクセスが拒否されました",
     ],
     "slot": [
