@@ -109,3 +109,25 @@ def test_content_hash_tells_changes(spark):
     assert hashes(rows[::-1]) == base
     assert hashes([("g", 1, "b"), ("g", 2, "a"), ("h", 1, "")])["g"] != base["g"] and hashes([("g", 1, "a"), ("g", 2, "b"), ("h", 1, "")])["h"] != base["h"]
     assert hashes([*rows, ("g", 2, "b")])["g"] != base["g"]
+
+
+def test_near_titles_need_no_shared_word(spark, monkeypatch):
+    rng = random.Random(8)
+    stems = ["gleaming", "lanterns", "quartzes", "harbours", "monitors", "за кулисами хранилища", "动く画像を試した結果", "e" * 70, "ab" * 110]
+    rows = []
+    for i in range(150):
+        t = " ".join(rng.sample(stems, rng.randrange(1, 4)))
+        for _ in range(rng.randrange(1 + len(t) // 6)):
+            p = rng.randrange(len(t))
+            t = t[:p] + rng.choice(["", "z", t[p] + "y"]) + t[p + 1 :]
+        rows.append((i, i % 3, t, rng.random() < 0.2))
+    df = spark.createDataFrame(rows, "id long, day int, title string, paper boolean")
+    for block in (st.NEAR, 20):  # whole groups, and groups cut into blocks
+        monkeypatch.setattr(st, "NEAR", block)
+        for apart, least in ((0, 0.65), (1, 0.7)):
+            got = st.near_titles(df, "id", "day", "title", least, apart, F.col("paper")).collect()
+            want = {
+                (i, j): r for i, g, a, p in rows for j, h, b, q in rows if h - g == apart and (i < j if apart == 0 else i != j) and not (p and q)
+                and a.strip() and b.strip() and (r := SequenceMatcher(None, a.strip(" ").lower(), b.strip(" ").lower()).ratio()) >= least
+            }
+            assert {(r["a"], r["b"]): r["ratio"] for r in got} == want and len(got) == len(want)
