@@ -91,6 +91,49 @@ def test_title_pairs_and_greedy_dedup(spark):
     assert {r["id"]: r["seed"] for r in st.seed_clusters(df, "day", "id", "title").collect()} == seed
 
 
+def _titles(n, days):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("stone", "river", "model", "chip") for b in ("gate", "house", "works", "field", "line")] + ["2024", "131b"]
+    rows = [(i, rng.randrange(days), " ".join(rng.sample(vocabulary, rng.randrange(1, 7)))) for i in range(n)]
+    rows += [(n + i, None, "stonegate riverhouse") for i in range(3)] + [(n + 9, 0, " ".join(f"word{k}" for k in range(20))), (n + 10, 0, " ".join(f"word{k}" for k in range(11)) + " " + " ".join(f"other{k}" for k in range(9)))]
+    return rng.sample(rows, len(rows))
+
+
+def _scan(rows):
+    """The seed of every row, found by looking at the rows in order."""
+    seed, kept = {}, {}
+    for i, day, t in sorted(rows, key=lambda r: r[0]):
+        w = _words(t)
+        like = [j for j, u in kept.get(day, []) if len(w) >= 2 and len(u) >= 2 and day is not None and (len(w & u) / len(w | u) >= 0.55 or len(w & u) / min(len(w), len(u)) >= 0.8)]
+        seed[i] = like[0] if like else i
+        if not like:
+            kept.setdefault(day, []).append((i, w))
+    return seed
+
+
+def _shuffled(spark, run):
+    """What ``run`` returns, and how many rows its stages wrote for a shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+    empty = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, empty, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    return run(), written() - before
+
+
+def test_seed_clusters_scan_each_group_and_shuffle_rows_only(spark, monkeypatch):
+    rows = _titles(900, 12)
+    df = spark.createDataFrame(rows, "id long, day int, title string")
+    monkeypatch.setattr(st, "PAIRS", 500)
+    out, shuffled = _shuffled(spark, lambda: st.seed_clusters(df, "day", "id", "title").collect())
+    assert {r["id"]: r["seed"] for r in out} == _scan(rows)
+    assert shuffled <= 4 * len(rows)
+
+
 def test_normalised_scores(spark):
     raw = [(i, float(x)) for i, x in enumerate([1, 2, 2, 3, 5, 8, 9, 12, 20, 40])]
     s = sorted(x for _, x in raw)
