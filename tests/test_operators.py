@@ -134,6 +134,15 @@ def test_seed_clusters_scan_each_group_and_shuffle_rows_only(spark, monkeypatch)
     assert shuffled <= 4 * len(rows)
 
 
+def test_title_dedup_scans_each_group_and_shuffles_rows_only(spark):
+    rows = _titles(1500, 20)
+    df = spark.createDataFrame(rows, "id long, day int, title string")
+    out, shuffled = _shuffled(spark, lambda: st.greedy_title_dedup(df, "day", "id", "title").collect())
+    assert {r["id"]: r["kept"] for r in out} == {i: s == i for i, s in _scan(rows).items()}
+    assert shuffled <= 4 * len(rows)
+    assert st.greedy_title_dedup(df.filter("id < 0"), "day", "id", "title").count() == 0
+
+
 def test_normalised_scores(spark):
     raw = [(i, float(x)) for i, x in enumerate([1, 2, 2, 3, 5, 8, 9, 12, 20, 40])]
     s = sorted(x for _, x in raw)
