@@ -131,3 +131,12 @@ def test_near_titles_need_no_shared_word(spark, monkeypatch):
                 and a.strip() and b.strip() and (r := SequenceMatcher(None, a.strip(" ").lower(), b.strip(" ").lower()).ratio()) >= least
             }
             assert {(r["a"], r["b"]): r["ratio"] for r in got} == want and len(got) == len(want)
+
+
+def test_title_sequences_look_at_every_pair(spark, tmp_path):
+    from gleaner.queries.stories import q_title_sequences
+
+    rows = [(1, 1, "tweet", "За кулисами хранилища"), (2, 1, "tweet", "за кулисами хранилищ "), (3, 1, "paper", "動く画像を試した結果"), (4, 1, "paper", "動く画像を試す結果"), (5, 2, "tweet", "動く画像を試した結果"), (6, 1, "blog", "a b c d"), (7, 1, "paper", "a b c e")]
+    spark.createDataFrame(rows, "item_id long, batch_id int, source_type string, title string").write.parquet(f"{tmp_path}/hotspot_items.parquet")
+    got = {(r["a"], r["b"]): r["ratio"] for r in q_title_sequences(spark, str(tmp_path)).collect()}
+    assert got == {(i, j): round(SequenceMatcher(None, rows[i - 1][3].strip().lower(), rows[j - 1][3].strip().lower()).ratio(), 4) for i, j in ((1, 2), (6, 7))}
