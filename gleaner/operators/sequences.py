@@ -7,8 +7,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
-#: Rows of one side looked at together, pairs worked on at once, columns of the count of characters, and characters above which a title is compared outright.
-STRIP, CHUNK, FEATURES, LONG = 128, 1 << 14, 512, 256
+#: Rows of one side looked at together, pairs worked on at once, columns of the count of characters, length above which a title is compared outright, characters left out at first.
+STRIP, CHUNK, FEATURES, LONG, DROP = 128, 1 << 14, 512, 256, 6
 
 
 def may_be_alike(left: list[str], right: list[str] | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -17,7 +17,7 @@ def may_be_alike(left: list[str], right: list[str] | None, least: float) -> Iter
     The characters matched form a common subsequence. So every pair is held against two bounds: the characters the titles
     share at all, for whole strips by a matrix product, and, for what is left, their longest common subsequence by
     bit-parallel steps over many pairs at once. That runs first without the commonest characters, which are counted as
-    matched wherever both have them, so that nearly all titles fit one machine word, then on the whole titles.
+    matched wherever both have them, then without as few as let nearly all titles fit one machine word, then on the whole titles.
     """
     same = right is None
     n = len(left)
@@ -36,15 +36,14 @@ def may_be_alike(left: list[str], right: list[str] | None, least: float) -> Iter
     del shared
     by, by2 = np.argsort(length[:n], kind="stable"), np.argsort(length[at:], kind="stable")
     mine, theirs, len1, len2 = mine[by], theirs[by2], length[:n][by], length[at:][by2]
-    common = _common(code, row, length)
-    thin = ~np.isin(code, common)
-    held = np.stack([np.bincount(row[code == c], minlength=len(texts)) for c in common]) if len(common) else np.zeros((0, len(texts)), np.int64)
-    held1, held2 = held[:, :n][:, by], held[:, at:][:, by2]
     place = np.empty(len(texts), np.int64)  # of a row in its side's order of length
     place[by], place[at + by2] = np.arange(n), np.arange(len(by2))
     own, other = row < n, row >= at
-    thin1, thin2 = _rows(place[row[own & thin]], code[own & thin], n), _columns(place[row[other & thin]], code[other & thin], len(by2), kinds)
-    full1, full2 = _rows(place[row[own]], code[own], n), _columns(place[row[other]], code[other], len(by2), kinds)
+    stages = []
+    for common in (_common(code, row, length, DROP), _common(code, row, length), []):
+        own_, other_ = (side & ~np.isin(code, common) for side in (own, other))
+        held = [np.bincount(row[code == c], minlength=len(texts)) for c in common]
+        stages.append((_rows(place[row[own_]], code[own_], n), _columns(place[row[other_]], code[other_], len(by2), kinds), [(h[:n][by], h[at:][by2]) for h in held]))
     for lo in range(0, n, STRIP):
         hi = min(n, lo + STRIP)
         first, last = np.searchsorted(len2, (len1[lo] * least / (2 - least) - 1, len1[hi - 1] * (2 - least) / least + 1))
@@ -58,13 +57,13 @@ def may_be_alike(left: list[str], right: list[str] | None, least: float) -> Iter
         if outright.any():
             yield by[i[outright] + lo], by2[j[outright]]
             i, j = i[~outright], j[~outright]
-        for rows, columns, counts in ((thin1, thin2, (held1, held2)), (full1, full2, None)):
+        for rows, columns, counts in stages:
             masks = _masks(*rows, lo, hi, kinds)
             kept = []
             for k in range(0, len(i), CHUNK):
                 x, y = i[k : k + CHUNK], j[k : k + CHUNK]
                 bound = _subsequence(masks, x * (kinds + 1), columns, y)
-                for a, b in zip(*counts) if counts else ():
+                for a, b in counts:
                     bound += np.minimum(a[x + lo], b[y])
                 kept.append(bound >= half * (len1[x + lo] + len2[y]) - 0.01)
             if kept:
@@ -98,11 +97,11 @@ def _unary(row: np.ndarray, code: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return out, np.maximum(0, extra - depth)
 
 
-def _common(code: np.ndarray, row: np.ndarray, length: np.ndarray) -> list[int]:
-    """The commonest characters, as many as must go (eight at most) for 19 of 20 rows to keep 64 characters or fewer."""
+def _common(code: np.ndarray, row: np.ndarray, length: np.ndarray, least: int = 0) -> list[int]:
+    """The commonest characters: at least so many, and as many (eight at most) as must go for 19 of 20 rows to keep 64 characters or fewer."""
     out, left = [], length.copy()
-    for c in np.argsort(-np.bincount(code), kind="stable")[:8]:
-        if np.percentile(left, 95) <= 64:
+    for c in np.argsort(-np.bincount(code), kind="stable")[: max(8, least)]:
+        if len(out) >= least and np.percentile(left, 95) <= 64:
             break
         out.append(int(c))
         left -= np.bincount(row[code == c], minlength=len(length))
@@ -165,14 +164,46 @@ def _subsequence(masks: np.ndarray, x: np.ndarray, columns: tuple[np.ndarray, np
     return sum(np.bitwise_count(~v).astype(np.int64) for v in state)
 
 
-def ratios(a: list[str], b: list[str]) -> np.ndarray:
-    """The Ratcliff-Obershelp ratio of each pair, as difflib works it out."""
-    out = np.empty(len(a))
-    m, last = SequenceMatcher(None), None
+def ratios(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """The Ratcliff-Obershelp ratio of each pair, as difflib works it out; 0 where it is below ``least`` for certain."""
+    out = np.zeros(len(a))
     for k, (x, y) in enumerate(zip(a, b)):
-        if y != last:
-            m.set_seq2(y)
-            last = y
-        m.set_seq1(x)
-        out[k] = m.ratio()
+        if len(y) >= 200:  # difflib leaves popular characters out there
+            out[k] = SequenceMatcher(None, x, y).ratio()
+        else:
+            out[k] = 2.0 * _matched(x, y, least / 2 * (len(x) + len(y)) - 1e-6) / (len(x) + len(y))
     return out
+
+
+def _matched(a: str, b: str, need: float) -> int:
+    """How many characters lie in the matching blocks of two texts; 0 once ``need`` is out of reach.
+
+    The longest common stretch, of equals the first in ``a`` and then in ``b``, is a block, and so on to its left and right;
+    a stretch is looked for only where it is longer than the longest so far.
+    """
+    todo, total, still = [(0, len(a), 0, len(b), len(a))], 0, min(len(a), len(b))
+    while todo:
+        a0, a1, b0, b1, most = todo.pop()
+        text = b[b0:b1]
+        size, at, met, i = 0, a0, 0, a0
+        most = min(most, a1 - a0, b1 - b0)
+        while size < most and i + size < a1:
+            j = text.find(a[i : i + size + 1])
+            if j >= 0:
+                size, at, met = size + 1, i, j
+                while i + size < a1 and (j := text.find(a[i : i + size + 1], met)) >= 0:
+                    size, met = size + 1, j
+            i += 1
+        still -= min(a1 - a0, b1 - b0)
+        if size:
+            total += size
+            met += b0
+            before, after = min(at - a0, met - b0), min(a1 - at, b1 - met) - size
+            still += before + after
+            if before:
+                todo.append((a0, at, b0, met, size))
+            if after:
+                todo.append((at + size, a1, met + size, b1, size))
+        if total + still < need:
+            return 0
+    return total

@@ -197,6 +197,20 @@ def test_sequence_similarity(spark):
     assert {r["id"]: round(r["ratio"], 9) for r in got} == {i: round(x, 9) for i, x in want.items() if x >= 0.5}
 
 
+def test_ratios_are_those_of_difflib():
+    from difflib import SequenceMatcher
+
+    from gleaner.operators import sequences
+
+    rng = random.Random(14)
+    texts = [("".join(rng.choice(kinds) for _ in range(rng.randrange(1, 40))), "".join(rng.choice(kinds) for _ in range(rng.randrange(1, 40)))) for kinds in ("ab", "abc ", "abcdefgh 日") for _ in range(700)]
+    texts += [("ab" * 110 + "c", "ba" * 110), ("x", "y")]
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in texts]
+    assert sequences.ratios(*zip(*texts), 0.0).tolist() == want
+    got = sequences.ratios(*zip(*texts), 0.65)
+    assert [r for r in got if r >= 0.65] == [r for r in want if r >= 0.65]
+
+
 def test_nearest_rank(spark):
     rng = random.Random(10)
     rows = [(g, rng.choice([0.1, 0.5, 2.0, rng.random() * 40])) for g in "ab" for _ in range(rng.randrange(40, 90))] + [("c", 3.0)]
